@@ -4,13 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(column: str, by: int, held: int) -> Column:
+    """Whether crc32 of the identifier as text leaves that remainder; false for a null identifier."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(by)) == held, F.lit(False))
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 3, 1)
+    model = langid.train(docs.filter(~held & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), "lang", "text"))
+    return langid.identify(docs, model, held_out=held)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm import gbquality
+
+    docs = table(spark, sf_dir, "documents")
+    held = remainder("doc_id", 4, 2)
+    model = gbquality.train(docs, table(spark, sf_dir, "labels").filter(~held))
+    scored = gbquality.classify(docs, model, held_out=held)
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     from maskwright.llm.repetition import repetition
 
