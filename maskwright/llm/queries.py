@@ -42,6 +42,18 @@ def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents")).drop("repeat_spans")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm import mixture
+
+    return mixture.taken_words(mixture.mix(table(spark, sf_dir, "documents")))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.lengthpack import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
