@@ -61,6 +61,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from maskwright.llm.pii_lstm import default_tagger, personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"), default_tagger())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
