@@ -198,3 +198,17 @@ def repetition(documents: DataFrame, rules: RepetitionRules = RepetitionRules(),
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
     return documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def keep(documents: DataFrame, rules: RepetitionRules = RepetitionRules(), text_col: str = "text") -> DataFrame:
+    """The rows of `documents`, with all columns, that the rules keep."""
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+                yield part.filter(pa.array([r["kept"] for r in measure(texts, rules)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
