@@ -39,13 +39,14 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 @dataclass(frozen=True)
 class SimHashSettings:
     """least_block: cells of up to so many rows are never cut. broadcast_cells: the table of cells to cut (a row each)
-    is broadcast up to so many rows. fan_out: children of a tree node. open_pairs: node pairs compared at a time."""
+    is broadcast up to so many rows. cell_rows: unrelated fingerprints in a cell, about. fan_out: children of a tree node. open_pairs: node pairs compared at a time."""
 
     shingle: int = 4
     seed: int = 42
     bits: int = 4
     least_block: int = 256
     broadcast_cells: int = 5000
+    cell_rows: int = 512
     fan_out: int = 8
     open_pairs: int = 200_000
 
@@ -181,14 +182,14 @@ class GrayIndex:
             self._join(parent, at, at + 1)
 
 
-def choices(distinct: int, bits: int) -> list[int]:
+def choices(distinct: int, bits: int, cell_rows: int) -> list[int]:
     """Bit masks so that any two fingerprints at most `bits` apart agree on all bits of at least one.
 
-    The width is cut into s segments; at least s - bits of them agree. The fewest segments are taken that leave about
-    32 unrelated fingerprints in a cell: more segments give more choices of more bits each.
+    The width is cut into s segments; at least s - bits of them agree. The fewest segments are taken that leave at
+    most about cell_rows unrelated fingerprints in a cell: more segments give smaller cells, but more rows.
     """
     segments = bits + 1
-    while segments < 2 * bits and distinct >> ((segments - bits) * WIDTH // segments) > 32:
+    while segments < 2 * bits and distinct >> ((segments - bits) * WIDTH // segments) > cell_rows:
         segments += 1
     edges = [WIDTH * i // segments for i in range(segments + 1)]
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
@@ -203,7 +204,7 @@ def stars(distinct: DataFrame, settings: SimHashSettings) -> DataFrame:
     """distinct: different fingerprints, column fp. Rows u, v with v < u: u is linked to v, maybe over others."""
     spark = distinct.sparkSession
     n = distinct.count()
-    masks = choices(n, settings.bits)
+    masks = choices(n, settings.bits, settings.cell_rows)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = max(parts, n * len(masks) // 400_000)
     block = max(settings.least_block, n * len(masks) // (2 * parts))
