@@ -112,7 +112,7 @@ def mix(documents: DataFrame, settings: MixSettings = MixSettings(), id_col: str
     slots = slots.select("sid", "blocks", "first_slot", F.explode(F.sequence(start, F.least(start + chunk, F.col("quota")) - 1)).alias("nth"))
     slots = slots.select(
         "sid", "blocks", F.floor(F.col("nth") / F.col("blocks")).alias("epoch"), F.pmod("nth", "blocks").alias("turn"),
-        (F.col("first_slot") + F.col("nth")).alias("at"), F.lit(facts["slots"]).cast("long").alias("all_slots"),
+        (F.col("first_slot") + F.col("nth")).alias("at"), F.lit(max(1, facts["slots"])).cast("long").alias("all_slots"),
     )
     slots = permuted(permuted(slots, "turn", "blocks", ["sid", "epoch"], "block"), "at", "all_slots", [], "place")
     slots = slots.select("sid", "block", "epoch", F.floor(F.col("place") / settings.shard_slots).alias("shard"), F.pmod("place", F.lit(settings.shard_slots)).alias("slot"))
