@@ -104,9 +104,13 @@ def repeated_runs(documents: DataFrame, settings: SpanSettings = SpanSettings(),
                 yield pa.RecordBatch.from_arrays([*hashes, part.column(0).take(take), part.column(1).take(take), pa.array(place)], ["h", "g", "doc_id", "row_hash", "place"])
 
     every = _rows(documents, id_col, text_col).mapInArrow(runs, "h long, g long, doc_id long, row_hash long, place int")
+    # Tables of their own, so that both sides of the joins are dealt anew and Spark can split the hashes of passages
+    # that very many documents share.
     twice = every.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n")).filter("n > 1").select("_h")
+    twice = written(twice, "spans-twice")
     some = written(every.join(twice, F.col("h") == F.col("_h"), "left_semi"), "spans-repeated")
     first = some.groupBy(F.col("h").alias("_h"), F.col("g").alias("_g")).agg(F.min(F.struct("doc_id", "row_hash", "place")).alias("first"))
+    first = written(first, "spans-first")
     later = ~F.struct("doc_id", "row_hash", "place").eqNullSafe(F.col("first"))
     return some.join(first, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).filter(later).select("doc_id", "row_hash", "place")
 
@@ -116,7 +120,8 @@ def remove_repeats(documents: DataFrame, settings: SpanSettings = SpanSettings()
     removed = written(repeated_runs(documents, settings, id_col, text_col), "spans-removed")
     places = removed.groupBy(F.col("row_hash").alias("_row")).agg(F.sort_array(F.collect_set("place")).alias("places"))
     rows = _rows(documents, id_col, text_col)
-    rows = rows.join(places, F.col("row_hash") == F.col("_row"), "left").select("doc_id", "text", "places")
+    # Places are far smaller than texts: hashing them spares sorting the texts.
+    rows = rows.join(places.hint("shuffle_hash"), F.col("row_hash") == F.col("_row"), "left").select("doc_id", "text", "places")
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
