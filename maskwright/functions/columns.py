@@ -19,7 +19,7 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def valid_ipv4(ip: Column, strict: bool = False) -> Column:
     """Four parts of 0 to 255. strict: as an address library reads it, so without leading zeros."""
-    fine = F.forall(F.split(ip, r"\."), lambda p: p.cast("int") <= 255)
+    fine = F.forall(F.split(ip, r"\."), lambda p: F.coalesce(p.try_cast("int") <= 255, F.lit(False)))
     return fine & ~ip.rlike(r"(^|\.)0[0-9]") if strict else fine
 
 
@@ -56,8 +56,8 @@ def serials_found(text: Column) -> Column:
 
 
 def ipv4_number(ip: Column) -> Column:
-    """The address as a number; null unless it has four parts."""
-    part = lambda i: F.get(F.split(ip, r"\."), F.lit(i)).cast("long")
+    """The address as a number; null unless it has four numeric parts."""
+    part = lambda i: F.get(F.split(ip, r"\."), F.lit(i)).try_cast("long")
     return part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3)
 
 
