@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 from maskwright.functions import fixed
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -91,6 +96,9 @@ def private_ipv4(number: Column) -> Column:
     return found
 
 
+_POWERS_OF_TWO = [1 << (31 - i) for i in range(32)]
+
+
 def tree_pseudonym(number: Column, seed: Column) -> Column:
     """Prefix-preserving, one-to-one pseudonym of an address number.
 
@@ -99,7 +107,6 @@ def tree_pseudonym(number: Column, seed: Column) -> Column:
     to 31 flip by keyed bits. So addresses that share a prefix share the pseudonym's prefix. The keyed bit is the last
     bit of SHA-256 over seed, head and path.
     """
-    binary = F.lpad(F.bin(number), 32, "0")
     start, head, stop = F.lit(4), F.concat(F.lit("P"), F.shiftrightunsigned(number, 28).cast("string")), F.lit(32)
     base = F.lit(0xF0000000).cast("long")
     for network, length in fixed.TREE_CLASSES:
@@ -107,22 +114,28 @@ def tree_pseudonym(number: Column, seed: Column) -> Column:
         start, stop = F.when(own, length).otherwise(start), F.when(own, 24).otherwise(stop)
         head = F.when(own, str(length)).otherwise(head)
         base = F.when(own, F.lit(network).cast("long")).otherwise(base)
+    node = F.struct(
+        F.lpad(F.bin(number), 32, "0").alias("binary"), start.alias("start"), stop.alias("stop"), base.alias("base"), F.concat_ws(":", seed, head, F.lit("")).alias("path")
+    )
+
+    def walk(node: Column) -> Column:
+        def add(total: Column, bit: Column) -> Column:
+            real = F.substring(node["binary"], bit + 1, F.lit(1)).cast("long")
+            path = F.concat(node["path"], F.substring(node["binary"], node["start"] + 1, bit - node["start"]))
+            keyed = F.instr(F.lit("13579bdf"), F.right(F.sha2(path, 256), F.lit(1))) > 0
+            flips = ((node["stop"] == 24) & (bit == node["start"])) | keyed
+            new = F.when(bit >= node["stop"], real).otherwise(F.when(flips, 1 - real).otherwise(real))
+            return total + F.when(new == 1, F.get(F.lit(_POWERS_OF_TWO).cast("array<bigint>"), bit)).otherwise(F.lit(0).cast("long"))
 
-    def add(total: Column, bit: Column) -> Column:
-        real = F.substring(binary, bit + 1, F.lit(1)).cast("long")
-        path = F.concat_ws(":", seed, head, F.substring(binary, start + 1, bit - start))
-        keyed = F.instr(F.lit("13579bdf"), F.right(F.sha2(path, 256), F.lit(1))) > 0
-        flips = F.when(stop == 24, (bit == start) | keyed).otherwise(keyed)
-        new = F.when(bit >= stop, real).otherwise(F.when(flips, 1 - real).otherwise(real))
-        return total + new * F.pow(F.lit(2.0), F.lit(31) - bit).cast("long")
+        return F.aggregate(F.sequence(node["start"], F.lit(31)), node["base"], add)
 
-    return F.aggregate(F.sequence(start, F.lit(31)), base, add)
+    return bound(node, walk)
 
 
 def pseudonym_ipv4(ip: Column, seed: Column) -> Column:
     """The address's pseudonym as text; an address that is kept, or that an address library rejects, as it is."""
-    number = ipv4_number(ip)
-    return F.when(~valid_ipv4(ip, strict=True) | kept_ipv4(number), ip).otherwise(ipv4_text(tree_pseudonym(number, seed)))
+    new = bound(ipv4_number(ip), lambda n: F.when(~kept_ipv4(n), bound(tree_pseudonym(n, seed), ipv4_text)))
+    return F.when(valid_ipv4(ip, strict=True), F.coalesce(new, ip)).otherwise(ip)
 
 
 def rewritten(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
