@@ -89,5 +89,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+SPACE = r"\x20\x09-\x0D"
+#: Pieces of up to 16 words, runs of three, the first of each group by doc_id and place.
+SENTENCE_SPANS = rf"""
+WITH lines AS (SELECT doc_id, generate_subscripts(ls, 1) AS l, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+words AS (SELECT doc_id, l, generate_subscripts(ws, 1) AS w, unnest(ws) AS word FROM (SELECT doc_id, l, regexp_extract_all(line, '[^{SPACE}]+') AS ws FROM lines)),
+sentences AS (SELECT *, coalesce(sum(CASE WHEN right(word, 1) IN ('.', '!', '?') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, l ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM words),
+cut AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, l, s ORDER BY w) - 1) // 16 AS c FROM sentences),
+pieces AS (SELECT doc_id, l, s, c, string_agg(word, ' ' ORDER BY w) AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY l, s, c) AS p FROM cut GROUP BY doc_id, l, s, c),
+runs AS (SELECT doc_id, p, piece, lead(piece, 1) OVER own AS second, lead(piece, 2) OVER own AS third FROM pieces WINDOW own AS (PARTITION BY doc_id ORDER BY p)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY piece, second, third ORDER BY doc_id, p) AS nth FROM runs WHERE third IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, p + d AS p FROM later, (VALUES (0), (1), (2)) AS t(d)),
+marked AS (SELECT pieces.*, gone.p IS NOT NULL AS removed FROM pieces LEFT JOIN gone ON gone.doc_id = pieces.doc_id AND gone.p = pieces.p),
+by_line AS (SELECT doc_id, l, count(*) AS n, count(*) FILTER (removed) AS r, string_agg(piece, ' ' ORDER BY p) FILTER (NOT removed) AS rest FROM marked GROUP BY doc_id, l),
+kept AS (SELECT lines.doc_id, lines.l, coalesce(n, 0) AS n, coalesce(r, 0) AS r, CASE WHEN coalesce(r, 0) = 0 THEN line ELSE rest END AS line FROM lines LEFT JOIN by_line ON by_line.doc_id = lines.doc_id AND by_line.l = lines.l)
+SELECT documents.doc_id, coalesce(sum(n), 0)::BIGINT AS n_pieces, coalesce(sum(r), 0)::BIGINT AS n_removed,
+  CASE WHEN any_value(documents.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY l) FILTER (line IS NOT NULL), '') END AS text
+FROM documents LEFT JOIN kept ON kept.doc_id = documents.doc_id GROUP BY documents.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_sentence_spans": SENTENCE_SPANS}
