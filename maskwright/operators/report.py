@@ -83,3 +83,15 @@ def member_differences(before: DataFrame, after: DataFrame, key: str, compared:
     both = left.join(right, F.col("_b") == F.col("_a"), "full_outer")
     status = F.when(F.col("_a").isNull(), "missing").when(F.col("_b").isNull(), "extra").when(F.col("_was").eqNullSafe(F.col("_is")), "same").otherwise("changed")
     return both.select(F.coalesce("_b", "_a").alias(key), status.alias("status"))
+
+
+def interrupted(jobs: DataFrame) -> DataFrame:
+    """Jobs as a start finds them: what was queued or running is interrupted."""
+    return jobs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "interrupted").otherwise(F.col("status")))
+
+
+def device_of(name: Column) -> Column:
+    """The device part of an archive's name: without suffix, dates, times and generic words."""
+    own = F.regexp_replace(name, r"(?i)(\.tar\.gz|\.tgz|\.tar)$", "")
+    own = F.regexp_replace(own, r"(?i)(^|[_\-. ])(?:20[0-9]{2}[_\-]?[0-9]{2}[_\-]?[0-9]{2}|[0-9]{4,6}|tsf|techsupport|tech-support|anon)(?=$|[_\-. ])", "")
+    return F.trim(F.regexp_replace(own, r"^[_\-. ]+|[_\-. ]+$", ""))

@@ -83,8 +83,8 @@ def q05_ip_pseudonym(spark, sf_dir):
 
 def q06_email_pseudonym(spark, sf_dir):
     found = document_emails(spark, sf_dir).select(F.col("email").alias("value"), (F.col("doc_id") * (1 << 20) + F.col("pos")).alias("seq"))
-    hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"))
-    return allocate.map_emails(found, hosts).select(F.col("original").alias("email"), F.col("pseudonym").alias("fake"))
+    hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"), spread=1 << 20)
+    return allocate.map_emails(found, hosts, spread=1 << 20).select(F.col("original").alias("email"), F.col("pseudonym").alias("fake"))
 
 
 def page_hosts(spark, sf_dir):
