@@ -50,6 +50,19 @@ def test_stream_equals_batch(spark):
     assert streamed == {r["doc_id"]: r["d"] for r in batch.select("doc_id", F.md5("text").alias("d")).collect()} and len(streamed) == docs.count()
 
 
+def test_native_rewrite_is_fully_explained(spark):
+    rows = demonstrations.q45_text_verdicts(spark, "/root/testdata/sf0.01").collect()
+    assert {r["status"] for r in rows} == {"identical", "anonymized"} and sum(r["changed_lines"] for r in rows) == sum(r["explained_lines"] for r in rows) > 10
+
+
+def test_blocks_equal_whole_texts(spark):
+    lines = [f"peer 10.0.{i}.{i % 9}. mail a{i}@b{i % 3}.org hostname: fw-{i} sn 01234567{i:04d}" for i in range(100)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None)], "i int, t string")
+    whole = [tuple(r) for r in detect.occurrences(df, "i", "t", detect.LINE_KINDS).orderBy("id", "kind", "pos").select("id", "kind", "value").collect()]
+    parts = [tuple(r) for r in detect.block_occurrences(df, "i", "t", 7).orderBy("id", "kind", "pos").select("id", "kind", "value").collect()]
+    assert whole == parts and len(whole) == 400
+
+
 PATTERNS = ("IPV4", "EMAIL", "USER_PHRASE", "HOSTNAME_PHRASE", "SERIAL", "NUMERIC_TOKEN")
 
 
