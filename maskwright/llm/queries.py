@@ -108,6 +108,28 @@ SELECT documents.doc_id, coalesce(sum(n), 0)::BIGINT AS n_pieces, coalesce(sum(r
 FROM documents LEFT JOIN kept ON kept.doc_id = documents.doc_id GROUP BY documents.doc_id
 """
 
+#: Windows of eight words; the longest repeat is the longest run of equal windows at one distance, and seven words.
+REPETITION = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, generate_subscripts(ws, 1) AS w, unnest(ws) AS word FROM (SELECT r, regexp_extract_all(text, '[^{SPACE}]+') AS ws FROM texts)),
+windows AS (SELECT *, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS g,
+  count(*) OVER (PARTITION BY r ORDER BY w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS size FROM words),
+twice AS (SELECT *, CASE WHEN size = 8 AND count(*) OVER (PARTITION BY r, size, g) > 1 THEN 1 ELSE 0 END AS again FROM windows),
+inside AS (SELECT r, word, max(again) OVER (PARTITION BY r ORDER BY w ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM twice),
+counts AS (SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, sum(covered)::BIGINT AS n_repeat_words,
+  sum(CASE WHEN covered = 1 THEN length(word) ELSE 0 END)::BIGINT AS repeat_chars FROM inside GROUP BY r),
+pairs AS (SELECT a.r, b.w - a.w AS apart, a.w FROM twice a JOIN twice b ON a.r = b.r AND a.g = b.g AND a.w < b.w WHERE a.again = 1 AND b.again = 1),
+islands AS (SELECT r, apart, w - row_number() OVER (PARTITION BY r, apart ORDER BY w) AS island FROM pairs),
+longest AS (SELECT r, max(n) + 7 AS longest_repeat FROM (SELECT r, count(*) AS n FROM islands GROUP BY r, apart, island) GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^{SPACE}]') GROUP BY r),
+whole AS (SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(repeat_chars, 0) AS repeat_chars, coalesce(longest_repeat, 0) AS longest_repeat
+  FROM texts LEFT JOIN counts USING (r) LEFT JOIN longest USING (r) LEFT JOIN lines USING (r))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND repeat_chars <= 0.3::DOUBLE * word_chars AND (longest_repeat < 24 OR longest_repeat <= 0.25::DOUBLE * n_words) AS kept
+FROM whole
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sentence_spans": SENTENCE_SPANS}
+    return {"op2_repetition": REPETITION, "op7_sentence_spans": SENTENCE_SPANS}
