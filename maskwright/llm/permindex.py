@@ -35,7 +35,7 @@ class PermutationSettings:
 
     pivots: int = 128
     prefix: int = 40
-    share: float = 0.2
+    share: float = 0.25
     least: int = 64
     rows: int = 16_384
     queries: int = 2048
