@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
 columns of documents. ORACLE_SQL is None: several stages cannot be expressed in SQL, so the pipeline is tested
 against a brute-force version.
+
+Defined results: null and empty texts fail the quality rules and go. Documents whose identifier is null are told apart
+by their text; of rows alike in both, one stays. Null languages and sources are kept as they are. An empty table goes
+through all stages. Extra columns are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
