@@ -117,6 +117,16 @@ def test_address_mapping_is_one_to_one(spark):
     assert again.count() == 2002 and allocate.duplicates(again).count() == 0 and mapping.exceptAll(again).count() == 0
 
 
+def test_full_networks_go_on_elsewhere(spark):
+    fake = spark.createDataFrame([("10.0.0.5",)], "o string").select(C.pseudonym_ipv4(F.col("o"), F.lit("s"))).first()[0]
+    net = fake.rpartition(".")[0]
+    old = [("ip_addresses", f"172.16.9.{i}", f"{net}.{i}") for i in range(256)] + [("ip_addresses", "172.16.8.1", "100.64.0.1")]
+    seed = spark.createDataFrame(old, "category string, original string, pseudonym string")
+    mapping = allocate.map_addresses(spark.createDataFrame([("10.0.0.5",), ("10.0.0.6",)], "original string"), F.lit("s"), seed)
+    new = {r["original"]: r["pseudonym"] for r in mapping.filter("original like '10.%'").collect()}
+    assert new == {"10.0.0.5": "100.64.0.2", "10.0.0.6": "100.64.0.3"} and allocate.duplicates(mapping).count() == 0
+
+
 def test_numbering_and_resume(spark):
     objects = spark.createDataFrame([("alpha one", "addr", 1), ("alpha one", "svc", 2), ("beta-2", "svc-grp", 3), ("any", "addr", 4), ("77", "addr", 5), ("ethernet1/2", "intf", 6), ("x", "addr", 7)], "value string, kind string, seq long")
     first = allocate.map_objects(objects)
