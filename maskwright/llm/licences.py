@@ -142,18 +142,24 @@ class Templates:
 
         most = self.sizes[-1] * (2 - self.threshold) / self.threshold if self.sizes else 0
         whole: set[tuple[str, str]] = set()
+        near, last = False, ""
         for line in LINE.finditer(text):
-            own = bigrams(line.group())
+            words = WORDS.findall(line.group().lower())
+            own = frozenset(zip(words, words[1:], strict=False))
             if len(whole) <= most:
                 whole |= own
+            if words:  # a pair of words may reach over a line end
+                near = near or (last, words[0]) in self.any_bigram
+                last = words[-1]
             if own.isdisjoint(self.any_bigram):
                 continue
+            near = True
             tried(line.start(), line.end(), own)
             parts = [m.span() for m in SENTENCE.finditer(line.group())]
             if len(parts) > 1:
                 for a, b in parts:
                     tried(line.start() + a, line.start() + b, bigrams(line.group()[a:b]))
-        if "\n" in text and not whole.isdisjoint(self.any_bigram):
+        if "\n" in text and near:
             for block in PARAGRAPH.finditer(text):
                 tried(*block.span(), bigrams(block.group()))
             if len(whole) <= most:

@@ -1,6 +1,7 @@
 """Language, repetition, licences and quality: brute force, held-out accuracy, awkward input."""
 
 import random
+import re
 
 import numpy as np
 from conftest_llm import CLASHES, prose, shown
@@ -132,11 +133,32 @@ def test_licence_scan_equals_all_pairs():
         assert templates.best(own) == ((best[1], -best[0]) if -best[0] >= 0.8 else None)
 
 
+def test_scan_equals_trying_every_part():
+    """All lines, sentences, paragraphs and the whole text against all templates, without any test before."""
+    templates, rng = licences.Templates(), random.Random(11)
+    for _ in range(120):
+        blocks = []
+        for _ in range(rng.randint(1, 4)):
+            own = rng.choice(licences.TEMPLATES)[1] if rng.random() < 0.6 else prose(rng.randrange(99), rng.choice([5, 60, 500]))
+            blocks.append(re.sub(" ", lambda m: rng.choice(" \n") if rng.random() < 0.2 else " ", own))
+        text = rng.choice(["\n\n", "\n", " "]).join(blocks)
+        parts = {m.span() for m in licences.LINE.finditer(text)} | {m.span() for m in licences.PARAGRAPH.finditer(text)} | {(0, len(text))}
+        for line in licences.LINE.finditer(text):
+            parts |= {(line.start() + m.start(), line.start() + m.end()) for m in licences.SENTENCE.finditer(line.group())}
+        want = set()
+        for a, b in parts:
+            own = licences.bigrams(text[a:b])
+            score, name = min((-licences.dice(own, licences.bigrams(t)), n) for n, t in licences.TEMPLATES)
+            if own and -score >= 0.8:
+                want.add((name, a, b, -score))
+        assert {m for m in templates.scan(text) if m[2] - m[1] < len(text)} == {m for m in want if m[2] - m[1] < len(text)}
+
+
 def test_licences_awkward(awkward, nothing, spark):
     assert licences.scan_licences(awkward).agg(F.sum("n_matches")).first()[0] == 0
     assert licences.scan_licences(nothing).count() == 0
     body = licences.TEMPLATES[0][1]
-    text = f"{prose(1, 40)}\n\n{body[:500]}\n{body[500:]}\n\nfoo bar. All rights reserved. baz\nReleased under the MIT license"
+    text = f"{prose(1, 400)}\n\n{body[:500]}\n{body[500:]}\n\nfoo bar. All rights reserved. baz\nReleased under the MIT license"
     found = licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert found["licences"] == "MIT,all-rights-reserved" and found["score"] == 1.0 and found["n_matches"] == 3
     assert shown(licences.scan_licences(spark.createDataFrame([(None, None)], "doc_id long, text string"))) == [(None, 0, None, None, "", "")]
