@@ -283,6 +283,36 @@ def test_spans_equal_plain_loop(spark):
         assert found[i]["text"].split() == " ".join(p for k, p in enumerate(pieces) if k not in gone).split()
 
 
+def test_spliced_passages_equal_all_windows(spark):
+    """Passages of 51 words or more spliced into sentences: every word of a window that came before goes, also without runs."""
+    rng, fresh = random.Random(12), iter(range(10_000, 20_000))
+    pool = [prose(300 + i, rng.choice([51, 60, 90])).replace(".", "") for i in range(6)]
+    rows = []
+    for i in range(60):
+        parts = [prose(next(fresh), rng.randint(1, 40)).replace(".", rng.choice(["", "."])) + rng.choice([" ", "\n"]) + rng.choice(pool) for _ in range(rng.randint(0, 3))]
+        rows.append((i, " ".join([*parts, prose(next(fresh), 5)])))
+    found = {r["doc_id"]: r for r in sentspan.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    windows: set = set()
+    runs: set = set()
+    lost = alone = 0
+    for i, text in rows:
+        words, gone, by_run = text.split(), set(), set()
+        sizes = [len(p) for line in text.encode().split(b"\n") for p in sentspan.line_pieces(line, 16)]
+        starts = [sum(sizes[:k]) for k in range(len(sizes) + 1)]
+        for k in range(len(sizes) - 2):
+            if (run := tuple(" ".join(words[starts[j] : starts[j + 1]]) for j in range(k, k + 3))) in runs:
+                by_run |= set(range(starts[k], starts[k + 3]))
+            runs.add(run)
+        for k in range(len(words) - 50):
+            if (window := tuple(words[k : k + 51])) in windows:
+                gone |= set(range(k, k + 51))
+            windows.add(window)
+        assert found[i]["text"].split() == [w for k, w in enumerate(words) if k not in gone | by_run]
+        assert found[i]["n_removed"] == sum(any(k in gone | by_run for k in range(a, b)) for a, b in zip(starts, starts[1:], strict=False))
+        lost, alone = lost + len(gone), alone + len(gone - by_run)
+    assert lost > 1000 and alone > 100
+
+
 def test_spans_awkward(awkward, nothing):
     found = sentspan.remove_repeats(awkward)
     assert found.count() == awkward.count() and sentspan.remove_repeats(nothing).count() == 0
