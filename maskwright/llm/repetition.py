@@ -5,7 +5,8 @@ belongs to a word. For a batch of texts one suffix array is built by prefix doub
 ids of its own, so the suffixes of a text are neighbours and no repeat reaches across texts. The longest
 common prefix of neighbouring suffixes gives, for each position, the longest run of words starting there
 that occurs again. The spans of those maximal repeats are joined, and the verdict limits the share of
-characters they cover and the longest repeat.
+characters they cover and the longest repeat. The columns count repeats of min_words or more; the verdict
+also limits the share of short repeats, so that words or phrases said again and again do not pass.
 
 Defined results: a null text counts as empty; an empty text or one without words has zero counts, fails the
 base rule (fewer than 20 words) and is not kept. Rows are independent, so repeated rows, ties and repeated or
@@ -36,12 +37,15 @@ SPACES = b" \t\n\r\x0b\x0c"
 class RepetitionRules:
     """min_words: the fewest words a repeat needs to count. max_covered: largest share of a text's word
     characters inside such repeats. max_longest_share: largest share of a text's words that one repeat may
-    have, applied from longest_floor words on."""
+    have, applied from longest_floor words on. short_words, max_short_covered: the same as the first two for
+    short repeats, which only the verdict counts."""
 
     min_words: int = 8
     max_covered: float = 0.30
     max_longest_share: float = 0.25
     longest_floor: int = 24
+    short_words: int = 3
+    max_short_covered: float = 0.50
     batch_words: int = 250_000
 
 
@@ -110,6 +114,15 @@ def covered(repeats: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def spans_of(marks: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
+    return [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def chars_in(words: list[bytes], spans: list[dict]) -> int:
+    return sum(len(b"".join(words[s["first"] : s["last"] + 1]).decode("utf-8", "replace")) for s in spans)
+
+
 def duplicate_lines(text: bytes) -> int:
     seen: set[bytes] = set()
     found = 0
@@ -146,22 +159,21 @@ def _measure_batch(texts: list[bytes], words: list[list[bytes]], rules: Repetiti
     symbols = np.fromiter(ids, np.int64, len(ids))
     del ids
     repeats = longest_repeats(symbols)
-    inside = covered(repeats, rules.min_words)
+    inside, short = covered(repeats, rules.min_words), covered(repeats, rules.short_words)
     at = 0
     for text, each in zip(texts, words, strict=True):
         n = len(each)
-        marks, own = inside[at : at + n], repeats[at : at + n]
+        marks, short_marks, own = inside[at : at + n], short[at : at + n], repeats[at : at + n]
         at += n + 1
         flat = b"".join(each)
         chars = len(flat.decode("utf-8", "replace")) if not flat.isascii() else len(flat)
-        edges = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
-        spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        repeat_chars = sum(len(b"".join(each[s["first"] : s["last"] + 1]).decode("utf-8", "replace")) for s in spans)
+        spans = spans_of(marks)
+        repeat_chars, short_chars = chars_in(each, spans), chars_in(each, spans_of(short_marks))
         repeat_words = int(marks.sum())
         longest = int(own.max()) if n else 0
         longest = longest if longest >= rules.min_words else 0
         failed = n < 20 or 100 * repeat_words > 30 * n
-        within = repeat_chars <= rules.max_covered * chars and (
+        within = repeat_chars <= rules.max_covered * chars and short_chars <= rules.max_short_covered * chars and (
             longest < rules.longest_floor or longest <= rules.max_longest_share * n
         )
         yield {

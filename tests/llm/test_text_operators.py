@@ -36,6 +36,17 @@ def test_suffix_array_order():
             assert list(symbols[a : a + k]) == list(symbols[b : b + k]) and symbols[a + k] != symbols[b + k]
 
 
+def test_short_repeats_are_rejected():
+    """Words said five times in a row, and short phrases between fresh words: no repeat has eight words."""
+    fresh = prose(21, 400).split()
+    in_a_row = " ".join(w for w in fresh[:12] for _ in range(5))
+    phrases = " ".join(f"as we all know {w}" for w in fresh[:30])
+    clean = " ".join([*fresh[:60], "as we all know", *fresh[60:90], "as we all know"])
+    found = list(repetition.measure([t.encode() for t in (in_a_row, phrases, clean)], repetition.RepetitionRules()))
+    assert [r["base_failed"] for r in found] == [False] * 3 and [r["n_repeat_words"] for r in found] == [0] * 3
+    assert [r["kept"] for r in found] == [False, False, True]
+
+
 def test_repetition_counts():
     text = "a#b $\u00a0c\n\nx y\nx y\n \nx y z"
     found = next(iter(repetition.measure([text.encode()], repetition.RepetitionRules())))
