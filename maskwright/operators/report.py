@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,24 +45,36 @@ def time_in_phase(rows: DataFrame, key: str, phase: str, ts: str, out: str) -> D
     return spent.groupBy(key, phase).agg(F.coalesce(F.sum("_us"), F.lit(0)).cast("long").alias(out))
 
 
-def nearest_ancestor(rows: DataFrame, key: str, parent: str, good: Column, depth: int) -> DataFrame:
-    """Rows key, ancestor, depth: the nearest ancestor for which `good` holds, within `depth` links.
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder named by spark.checkpoint.dir, read again, so that rounds do not pile up plans."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
+    path = f"{base}/chains-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def nearest_ancestor(rows: DataFrame, key: str, parent: str, good: Column, depth: int | None = None) -> DataFrame:
+    """Rows key, ancestor, depth: the nearest ancestor for which `good` holds, within `depth` links if that is given.
 
-    One join for each level, only with rows still open; a missing parent ends a walk, and so does the depth, so a
-    cycle cannot run on.
+    Pointers double: an open row takes over what its ancestor points to, so a chain of n links takes about log2 n
+    rounds. A missing parent ends a walk. A chain has no more links than there are rows, so what is open beyond that
+    is a cycle and ends. Without `depth` no row is its own ancestor.
     """
-    links = rows.select(F.col(key).alias("_key"), F.col(parent).alias("_parent"), good.alias("_good"))
-    open_, found = rows.select(key, F.col(parent).alias("_at")).filter("_at is not null"), None
-    for level in range(1, depth + 1):
-        step = open_.join(links, F.col("_at") == F.col("_key"))
-        hit = step.filter("_good").select(key, F.col("_at").alias("ancestor"), F.lit(level).cast("long").alias("depth"))
-        found = hit if found is None else found.unionByName(hit)
-        open_ = step.filter("not _good and _parent is not null").select(key, F.col("_parent").alias("_at"))
-    return found
-
-
-def chain_clear(rows: DataFrame, key: str, parent: str, busy: Column, depth: int) -> DataFrame:
-    """Rows key, clear: whether no ancestor within `depth` links is busy; a missing ancestor is clear."""
+    links = rows.select(F.col(key).alias("_key"), F.col(parent).alias("_at"), good.alias("_good"))
+    parents = links.select(F.col("_key").alias("_to"), F.coalesce("_good", F.lit(False)).alias("_done"))
+    jump = links.join(parents, F.col("_at") == F.col("_to")).select("_key", "_at", F.lit(1).cast("long").alias("_n"), "_done")
+    jump, reach, size = _written(jump), 1, rows.count()
+    while reach <= size and not jump.filter("not _done").isEmpty():
+        ahead = jump.select(F.col("_key").alias("_to"), F.col("_at").alias("_next"), F.col("_n").alias("_more"), F.col("_done").alias("_there"))
+        step = jump.filter("not _done").join(ahead, F.col("_at") == F.col("_to"))
+        step = step.select("_key", F.col("_next").alias("_at"), (F.col("_n") + F.col("_more")).alias("_n"), F.col("_there").alias("_done"))
+        jump, reach = _written(jump.filter("_done").unionByName(step)), reach * 2
+    found = jump.filter("_done").filter(F.col("_at") != F.col("_key") if depth is None else F.col("_n") <= depth)
+    return found.select(F.col("_key").alias(key), F.col("_at").alias("ancestor"), F.col("_n").alias("depth"))
+
+
+def chain_clear(rows: DataFrame, key: str, parent: str, busy: Column, depth: int | None = None) -> DataFrame:
+    """Rows key, clear: whether no ancestor (within `depth` links, if given) is busy; a missing ancestor is clear."""
     hit = nearest_ancestor(rows, key, parent, busy, depth).select(F.col(key).alias("_hit"))
     return rows.join(hit, F.col(key) == F.col("_hit"), "left").select(key, F.col("_hit").isNull().alias("clear"))
 

@@ -273,7 +273,7 @@ def chains(spark, sf_dir):
 
 
 def q32_chain_walk(spark, sf_dir):
-    return report.nearest_ancestor(chains(spark, sf_dir), "event_id", "seed_from", F.col("event_type") == "purchase", 5)
+    return report.nearest_ancestor(chains(spark, sf_dir), "event_id", "seed_from", F.col("event_type") == "purchase")
 
 
 def q33_stopwords(spark, sf_dir):
