@@ -162,3 +162,13 @@ def test_package_works_without_the_corpus_part():
             for node in ast.walk(ast.parse(path.read_text())):
                 names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
                 assert not any("llm" in n or "corpus_pipeline" in n for n in names), path
+
+
+def test_text_verdicts_do_not_drop_addresses(spark, monkeypatch):
+    from maskwright.operators import rewrite
+
+    whole = demonstrations.q45_text_verdicts(spark, SF)
+    assert whole.agg(F.sum("unexplained_lines")).first()[0] == 0
+    monkeypatch.setattr(rewrite, "MOST_MAPPED", 1)
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        demonstrations.q45_text_verdicts(spark, SF)
