@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskwright.store import written
+
 
 def hunks(lines: DataFrame, key: str, context: int = 3) -> DataFrame:
     """Gaps and islands. lines: key, n (1-based), changed, total (lines of that key). Rows key, hunk, start, end:
@@ -45,14 +44,6 @@ def time_in_phase(rows: DataFrame, key: str, phase: str, ts: str, out: str) -> D
     return spent.groupBy(key, phase).agg(F.coalesce(F.sum("_us"), F.lit(0)).cast("long").alias(out))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder named by spark.checkpoint.dir, read again, so that rounds do not pile up plans."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
-    path = f"{base}/chains-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def nearest_ancestor(rows: DataFrame, key: str, parent: str, good: Column, depth: int | None = None) -> DataFrame:
     """Rows key, ancestor, depth: the nearest ancestor for which `good` holds, within `depth` links if that is given.
 
@@ -63,12 +54,12 @@ def nearest_ancestor(rows: DataFrame, key: str, parent: str, good: Column, depth
     links = rows.select(F.col(key).alias("_key"), F.col(parent).alias("_at"), good.alias("_good"))
     parents = links.select(F.col("_key").alias("_to"), F.coalesce("_good", F.lit(False)).alias("_done"))
     jump = links.join(parents, F.col("_at") == F.col("_to")).select("_key", "_at", F.lit(1).cast("long").alias("_n"), "_done")
-    jump, reach, size = _written(jump), 1, rows.count()
+    jump, reach, size = written(jump, "chains"), 1, rows.count()
     while reach <= size and not jump.filter("not _done").isEmpty():
         ahead = jump.select(F.col("_key").alias("_to"), F.col("_at").alias("_next"), F.col("_n").alias("_more"), F.col("_done").alias("_there"))
         step = jump.filter("not _done").join(ahead, F.col("_at") == F.col("_to"))
         step = step.select("_key", F.col("_next").alias("_at"), (F.col("_n") + F.col("_more")).alias("_n"), F.col("_there").alias("_done"))
-        jump, reach = _written(jump.filter("_done").unionByName(step)), reach * 2
+        jump, reach = written(jump.filter("_done").unionByName(step), "chains"), reach * 2
     found = jump.filter("_done").filter(F.col("_at") != F.col("_key") if depth is None else F.col("_n") <= depth)
     return found.select(F.col("_key").alias(key), F.col("_at").alias("ancestor"), F.col("_n").alias("depth"))
 

@@ -151,10 +151,11 @@ def oracle_sql() -> dict[str, str]:
         "q19_tag_sequence": "SELECT page_id, len(t)::BIGINT AS n, md5(array_to_string(t, ',')) AS digest FROM (SELECT page_id, regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9-]*)', 1) AS t FROM pages)",
         "q20_free_text": f"""SELECT page_id, md5(regexp_replace(html, '<(title|h1)>([^<]*[^<\\s][^<]*)</(title|h1)>', '<\\1>{fixed.PLACEHOLDER}</\\3>', 'g')) AS digest,
             len(regexp_extract_all(html, '<(title|h1)>([^<]*[^<\\s][^<]*)</(title|h1)>'))::BIGINT AS n FROM pages""",
-        "q21_binary_heuristic": r"""WITH heads AS (SELECT doc_id, substring(text, 1, 1000) AS h FROM documents), versions AS (
-            SELECT doc_id, 'plain' AS version, h AS t FROM heads UNION ALL SELECT doc_id, 'some', translate(h, 'et', chr(1) || chr(2)) FROM heads
-            UNION ALL SELECT doc_id, 'many', translate(h, 'aeioutrn', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8)) FROM heads)
-            SELECT doc_id, version, strlen(t) > 0 AND len(regexp_extract_all(t, '[\x01-\x08\x0E-\x1F\x7F]')) > 0.30 * strlen(t) AS binary FROM versions""",
+        "q21_binary_heuristic": r"""WITH versions AS (SELECT doc_id, 'plain' AS version, text AS t FROM documents UNION ALL SELECT doc_id, 'some', translate(text, 'et', chr(1) || chr(2)) FROM documents
+            UNION ALL SELECT doc_id, 'many', translate(text, 'aeioutrn', chr(1) || chr(2) || chr(3) || chr(4) || chr(5) || chr(6) || chr(7) || chr(8)) FROM documents),
+            heads AS (SELECT doc_id, version, substring(hex(encode(t)), 1, 8192) AS h FROM versions),
+            counts AS (SELECT doc_id, version, length(h) // 2 AS size, len(regexp_extract_all(regexp_replace(h, '(..)', '\1 ', 'g'), '(0[1-8]|0[EF]|1[0-9A-F]|7F) ')) AS control FROM heads)
+            SELECT doc_id, version, size > 0 AND control > 0.30 * size AS binary FROM counts""",
         "q22_referential_join": "SELECT c_mktsegment AS segment, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
         "q23_member_diff": """WITH b AS (SELECT n_nationkey::BIGINT AS key, n_name, n_regionkey::BIGINT AS region FROM nation),
             a AS (SELECT key, CASE WHEN key % 5 = 2 THEN lower(n_name) ELSE n_name END AS n_name, region FROM b WHERE key % 7 <> 3 UNION ALL SELECT key + 100, n_name, region FROM b WHERE key % 6 = 0)
@@ -178,7 +179,7 @@ def oracle_sql() -> dict[str, str]:
         "q31_latest_in_group": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
         "q32_chain_walk": """WITH RECURSIVE links AS (SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seed_from FROM events),
             walk AS (SELECT event_id, seed_from AS prior, 1 AS depth FROM links WHERE seed_from IS NOT NULL
-              UNION ALL SELECT walk.event_id, l.seed_from, depth + 1 FROM walk JOIN links l ON l.event_id = walk.prior WHERE l.event_type <> 'purchase' AND l.seed_from IS NOT NULL AND depth < 5)
+              UNION ALL SELECT walk.event_id, l.seed_from, depth + 1 FROM walk JOIN links l ON l.event_id = walk.prior WHERE l.event_type <> 'purchase' AND l.seed_from IS NOT NULL)
             SELECT walk.event_id, prior AS ancestor, depth::BIGINT AS depth FROM walk JOIN links l ON l.event_id = walk.prior WHERE l.event_type = 'purchase'""",
         "q33_stopwords": f"""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)
             WHERE token NOT IN {words(fixed.USER_STOPWORDS + fixed.BUILTIN_NAMES + fixed.DOMAIN_STOPWORDS)} GROUP BY token""",
@@ -191,5 +192,5 @@ def oracle_sql() -> dict[str, str]:
               WHERE NOT regexp_matches(lower(value), '(^|\.)example\.com$')
               UNION ALL SELECT source, id, 'serial', value FROM tokens WHERE regexp_full_match(value, '0[0-9]{{11}}'))
             SELECT source, id, kind, value, count(*) AS n FROM found GROUP BY ALL""",
-        "q35_numbered_events": "SELECT event_id, row_number() OVER (ORDER BY event_id) AS number FROM events WHERE event_type = 'error'",
+        "q35_numbered_events": "SELECT event_id, event_type, row_number() OVER (ORDER BY event_type, event_id) AS number FROM events",
     }

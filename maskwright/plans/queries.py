@@ -82,9 +82,9 @@ def q05_ip_pseudonym(spark, sf_dir):
 
 
 def q06_email_pseudonym(spark, sf_dir):
-    found = document_emails(spark, sf_dir).select(F.col("email").alias("value"), (F.col("doc_id") * (1 << 20) + F.col("pos")).alias("seq"))
-    hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"), spread=1 << 20)
-    return allocate.map_emails(found, hosts, spread=1 << 20).select(F.col("original").alias("email"), F.col("pseudonym").alias("fake"))
+    found = document_emails(spark, sf_dir).select(F.col("email").alias("value"), F.struct("doc_id", "pos").alias("seq"))
+    hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"))
+    return allocate.map_emails(found, hosts).select(F.col("original").alias("email"), F.col("pseudonym").alias("fake"))
 
 
 def page_hosts(spark, sf_dir):
@@ -191,9 +191,9 @@ def q20_free_text(spark, sf_dir):
 
 
 def q21_binary_heuristic(spark, sf_dir):
-    head = F.substring("text", 1, 1000)
-    some = F.translate(head, "et", "\x01\x02")
-    versions = F.create_map(F.lit("plain"), head, F.lit("some"), some, F.lit("many"), F.translate(head, "aeioutrn", "\x01\x02\x03\x04\x05\x06\x07\x08"))
+    whole = F.col("text")
+    some = F.translate(whole, "et", "\x01\x02")
+    versions = F.create_map(F.lit("plain"), whole, F.lit("some"), some, F.lit("many"), F.translate(whole, "aeioutrn", "\x01\x02\x03\x04\x05\x06\x07\x08"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(versions).alias("version", "text"))
     return rows.select("doc_id", "version", C.is_binary(F.encode("text", "UTF-8")).alias("binary"))
 
@@ -289,8 +289,8 @@ def q34_policy_scan(spark, sf_dir):
 
 
 def q35_numbered_events(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id")
-    return numbered(rows, "event_id", "number", width=512)
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return numbered(rows, ("event_type", "event_id"), "number")
 
 
 def queries() -> dict[str, Query]:

@@ -34,16 +34,16 @@ def mapping_before(spark, folder: str, batch: int) -> DataFrame:
 
 
 def incremental(stream: DataFrame, id_col: str, text_col: str, seed: str, folder: str) -> StreamingQuery:
-    """Starts a query that keeps folder/mapping and folder/out, each partitioned by batch. id_col: a long."""
+    """Starts a query that keeps folder/mapping and folder/out, each partitioned by batch. id_col: anything ordered."""
 
     def step(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
         rows = rows.persist()
         known = mapping_before(spark, f"{folder}/mapping", batch)
         found = rows.filter(F.col(text_col).contains("@")).select(F.col(id_col).alias("id"), F.posexplode(C.emails_found(F.col(text_col))).alias("pos", "value"))
-        found = found.select("value", (F.col("id") * (1 << 20) + F.col("pos")).alias("seq"))
-        hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"), known, 1 << 20)
-        mapping = hosts.unionByName(allocate.map_emails(found, hosts, known, 1 << 20))
+        found = found.select("value", F.struct("id", "pos").alias("seq"))
+        hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"), known)
+        mapping = hosts.unionByName(allocate.map_emails(found, hosts, known))
         new = mapping.join(known.select(F.col("category").alias("_c"), F.col("original").alias("_o")), (F.col("category") == F.col("_c")) & (F.col("original") == F.col("_o")), "left_anti")
         new.write.mode("overwrite").parquet(f"{folder}/mapping/batch={batch}")
         whole = mapping_before(spark, f"{folder}/mapping", batch + 1)

@@ -41,7 +41,7 @@ def test_every_query_has_its_sql():
 def test_stream_equals_batch(spark):
     streamed = {r["doc_id"]: r["digest"] for r in demonstrations.q44_stream_rewrite(spark, SF).collect()}
     docs = queries.table(spark, SF, "documents")
-    found = queries.document_emails(spark, SF).select(F.col("email").alias("value"), (F.col("doc_id") * (1 << 20) + F.col("pos")).alias("seq"))
+    found = queries.document_emails(spark, SF).select(F.col("email").alias("value"), F.struct("doc_id", "pos").alias("seq"))
     from maskwright.operators import rewrite
 
     hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"))
@@ -139,6 +139,56 @@ def test_numbering_and_resume(spark):
     assert {r["original"]: r["pseudonym"] for r in hosts.collect()} == {"vpn.acme.org": "host001.anon.internal", "acme.org": "host002.anon.internal", "box": "host003", "a.conf.gz": "host004.anon.internal"}
 
 
+def test_pseudonyms_are_not_renamed(spark):
+    """A second run on its own output, with its own mapping, finds nothing new; objects leave a gap."""
+    seed = spark.createDataFrame([("usernames", "jdoe", "user001"), ("serial_numbers", "012345678901", "900000000001"), ("named_objects", "Web", "USR-0001")], "category string, original string, pseudonym string")
+    none = spark.createDataFrame([], "category string, original string, pseudonym string")
+    users = allocate.map_users(spark.createDataFrame([("user001", 1), ("USR-0001", 2), ("new.one", 3)], "original string, seq long"), none, seed=seed)
+    assert {r["original"]: r["pseudonym"] for r in users.collect()} == {"jdoe": "user001", "new.one": "user002"}
+    serials = allocate.map_serials(spark.createDataFrame([("900000000001", 1), ("012345678901", 2)], "value string, seq long"), seed)
+    assert serials.count() == 1
+    objects = allocate.map_objects(spark.createDataFrame([("USR-0001", "user", 1), ("DB", "addr", 2)], "value string, kind string, seq long"), seed=seed)
+    assert {r["original"]: r["pseudonym"] for r in objects.collect()} == {"Web": "USR-0001", "DB": "ADDR-0003"}
+
+
+def test_identifiers_of_any_size(spark):
+    huge = 1 << 62
+    rows = spark.createDataFrame([("b.acme.org", huge, 1), ("a.acme.org", huge - 5, 0), ("c.acme.org", -huge, 7)], "value string, id long, pos long")
+    hosts = allocate.map_hosts(rows.select("value", F.struct("id", "pos").alias("seq")))
+    assert {r["original"]: r["pseudonym"][:7] for r in hosts.collect()} == {"c.acme.org": "host001", "acme.org": "host002", "a.acme.org": "host003", "b.acme.org": "host004"}
+
+
+def test_ordered_sums_equal_a_loop(spark):
+    from maskwright.operators.numbering import numbered, ordered_sums
+
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 0, 5, 5, 1 << 60, -(1 << 60)]), i, rng.choice([None, 1, 2, 30])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, i long, amount long").repartition(3)
+    found = {r["i"]: r for r in ordered_sums(numbered(df, ("k", "i"), "n"), ("k", "i"), {"before": "amount"}).collect()}
+    total = 0
+    for n, (_, i, amount) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1])), 1):
+        assert (found[i]["n"], found[i]["before"]) == (n, total)
+        total += amount or 0
+    assert numbered(df.limit(0), "k", "n").count() == 0
+
+
+def test_folders_of_a_cluster_must_be_named():
+    from maskwright import store
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(Session())
+
+
 def test_detectors(spark):
     text = "authenticated for user 'j.doe' from 10.1.2.3/24. user=\"x9\" hostname: fw-07 hostname of sn 012345678901 040509422026 1.2.3.4.5 mail a@b.org x@252.acl"
     rows = {(r["kind"], r["value"]) for r in detect.findings(spark.createDataFrame([(1, text)], "i int, t string"), "i", "t").collect()}
