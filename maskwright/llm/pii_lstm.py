@@ -8,7 +8,7 @@ border cuts no span. Spans of the patterns always stay; the network adds spans t
 The CRF decodes only windows in which some character could beat label `none` with the best transitions on either
 side; for all others the path without spans is provably the best.
 
-Defined results: a null text counts as empty and has no spans. Offsets count code points; ends are exclusive. Rows
+Defined results: a null text counts as empty and has no spans; an identifier that is no integer counts as null. Offsets count code points; ends are exclusive. Rows
 are independent, so repeated rows, ties and null identifiers get one result each. Extra columns are ignored. Long
 texts are read whole, a group of windows at a time.
 """
@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -207,12 +208,14 @@ class Tagger:
         self._back(x[::-1], "b", back, dh[::-1, :, self.units :], grad)
         return float((total - best).mean()), {name: g / (b * n) for name, g in grad.items()}
 
-    # use: arrays are (time, units or labels, windows)
+    # use: arrays are (time, units or labels, windows); windows are sorted by their size, and what lies beyond a
+    # window's size is never read, so its labels do not depend on the windows beside it
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def scores(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Label scores (time, labels, windows) for signs (time, windows)."""
         u = self.units
         n, b = x.shape
+        starts = np.searchsorted(sizes, np.arange(n), "right")
         half = np.r_[np.full(3 * u, 0.5), np.ones(u)]
         found = np.empty((n, len(LABELS), b), np.float32)
         found[:] = self.p["bias"].astype(np.float32)[:, None]
@@ -220,10 +223,16 @@ class Tagger:
             sign = np.ascontiguousarray((self.p[f"sign{d}"] * half).T.astype(np.float32))
             own = np.ascontiguousarray((self.p[f"own{d}"] * half).T.astype(np.float32))
             out = np.ascontiguousarray(self.p["out"][slice(0, u) if d == "f" else slice(u, 2 * u)].T.astype(np.float32))
-            h, c = np.zeros((u, b), np.float32), np.zeros((u, b), np.float32)
-            z, y, e = np.empty((4 * u, b), np.float32), np.empty((4 * u, b), np.float32), np.empty((len(LABELS), b), np.float32)
+            every_h, every_c = np.zeros((u, b), np.float32), np.zeros((u, b), np.float32)
+            wide, first = None, -1
             for t in turns:
-                np.take(sign, x[t], axis=1, out=z, mode="clip")
+                if first != starts[t]:  # windows begin, or end, here
+                    if wide is not None:
+                        every_h[:, first:], every_c[:, first:] = h, c
+                    first, wide = starts[t], b - starts[t]
+                    h, c = np.ascontiguousarray(every_h[:, first:]), np.ascontiguousarray(every_c[:, first:])
+                    z, y, e = (np.empty((k, wide), np.float32) for k in (4 * u, 4 * u, len(LABELS)))
+                np.take(sign, x[t, first:], axis=1, out=z, mode="clip")
                 np.matmul(own, h, out=y)
                 z += y
                 np.tanh(z, out=z)
@@ -236,29 +245,37 @@ class Tagger:
                 np.tanh(c, out=h)
                 h *= z[2 * u : 3 * u]
                 np.matmul(out, h, out=e)
-                found[t] += e
+                found[t, :, first:] += e
         return found
 
-    def open_windows(self, e: np.ndarray) -> np.ndarray:
-        """Windows that could hold a span: elsewhere, no label at any place makes up for its loss against `none`."""
+    def open_windows(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Windows that could hold a span. Against the path of `none` alone, a place with another label gains its own
+        score, at most the best move into the label, and the move back if that pays; the first place is entered by no
+        move. Where no place gains anything, the path of `none` is the best."""
         move = self.p["move"]
-        gain = move[:, 1:].max(0) - move[0, 0] + np.maximum(0, move[1:, 0] - move[0, 0])
-        return np.flatnonzero(((e[:, 1:] + gain.astype(np.float32)[:, None]).max(1) > e[:, 0]).any(0))
-
-    def decode(self, e: np.ndarray) -> np.ndarray:
-        """Best label paths (time, windows)."""
+        back = np.maximum(0, move[1:, 0] - move[0, 0])
+        gain = np.repeat((move[:, 1:].max(0) - move[0, 0] + back)[None], len(e), 0)
+        gain[0] = back
+        above = (e[:, 1:] + gain.astype(np.float32)[:, :, None]).max(1) > e[:, 0]
+        return np.flatnonzero((above & (np.arange(len(e))[:, None] < sizes)).any(0))
+
+    def decode(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Best label paths (time, windows); `none` beyond a window's size."""
         n, k, b = e.shape
         move = self.p["move"].astype(np.float32)
         came = np.empty((n, k, b), np.uint8)
-        best = e[0]
+        best, own, at = e[0], e[0].argmax(0), np.arange(b)
         for t in range(1, n):
             every = best[:, None, :] + move[:, :, None]
             came[t] = every.argmax(0)
             best = every.max(0) + e[t]
-        path, at = np.empty((n, b), np.uint8), np.arange(b)
-        path[-1] = best.argmax(0)
-        for t in range(n - 1, 0, -1):
-            path[t - 1] = came[t, path[t], at]
+            own = np.where(sizes > t, best.argmax(0), own)
+        path = np.zeros((n, b), np.uint8)
+        for t in range(n - 1, -1, -1):
+            inside = sizes > t
+            path[t] = np.where(inside, own, 0)
+            if t:
+                own = np.where(inside, came[t, own, at], own)
         return path
 
 
@@ -348,9 +365,23 @@ def labelled_examples(n: int, length: int, seed: int) -> tuple[list[str], list[l
     return texts, spans
 
 
+WEIGHTS = Path(__file__).with_name("tagger.npz")
+
+
+def trained(settings: TagSettings = TagSettings()) -> Tagger:
+    return fit(*labelled_examples(6000, settings.length, settings.seed), settings)
+
+
 @cache
 def default_tagger(settings: TagSettings = TagSettings()) -> Tagger:
-    return fit(*labelled_examples(6000, settings.length, settings.seed), settings)
+    """The tagger that `trained` gives for the default settings, from the file that `python -m maskwright.llm.pii_lstm`
+    writes; with other settings, or without that file, it is trained now."""
+    if settings != TagSettings() or not WEIGHTS.exists():
+        return trained(settings)
+    tagger = Tagger(settings.units, settings.seed)
+    with np.load(WEIGHTS) as kept:
+        tagger.p = {k: kept[k].astype(float) for k in tagger.p}
+    return tagger
 
 
 def windows(size: int, settings: TagSettings) -> list[tuple[int, int]]:
@@ -371,10 +402,11 @@ def tag(texts: list[str], tagger: Tagger, settings: TagSettings = TagSettings())
         x = np.full((own[-1][0], len(own)), NEWLINE, np.uint8)
         for j, (n, i, a, b) in enumerate(own):
             x[:n, j] = flat[base[i] + a : base[i] + b]
-        e = tagger.scores(x)
-        few = tagger.open_windows(e)
+        sizes = np.array([n for n, *_ in own])
+        e = tagger.scores(x, sizes)
+        few = tagger.open_windows(e, sizes)
         if len(few):
-            paths = tagger.decode(e[:, :, few])
+            paths = tagger.decode(e[:, :, few], sizes[few])
             for j, w in enumerate(few):
                 n, i, a, b = own[w]
                 if paths[:n, j].any():
@@ -425,7 +457,7 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string())]
+    [("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())]
 )
 
 
@@ -460,11 +492,11 @@ def personal_data(documents: DataFrame, tagger: Tagger, settings: TagSettings =
             rows = []
             for i, (base, every) in zip(batch.column(0).to_pylist(), find(texts, shared.value, settings), strict=True):
                 row = {f"n_{k}": sum(s[0] == k for s in base) for k in BASE_KINDS}
-                rows.append({"doc_id": i, **row, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(every)})
+                rows.append({"doc_id": i, **row, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(every), "n_spans": len(every)})
             yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    rows = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    rows = documents.select(documents[id_col].try_cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(documents: DataFrame, tagger: Tagger, settings: TagSettings = TagSettings(), text_col: str = "text") -> DataFrame:
@@ -480,3 +512,7 @@ def redact(documents: DataFrame, tagger: Tagger, settings: TagSettings = TagSett
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(new, pa.string()), *batch.columns[at + 1 :]], names=batch.schema.names)
 
     return documents.mapInArrow(run, documents.schema)
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **{k: v.astype(np.float32) for k, v in trained().p.items()})
