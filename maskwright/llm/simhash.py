@@ -13,7 +13,7 @@ A cell gives a star for each local component, never all pairs. Cells with more t
 cut into blocks and each pair of blocks becomes a cell of its own. Stars are joined into components by alternating
 large-star and small-star steps.
 
-Defined results: null and empty texts have fingerprint 0 and link with each other like any others. A null identifier
+Defined results: an identifier that is no integer counts as null. Null and empty texts have fingerprint 0 and link with each other like any others. A null identifier
 takes part but is never the smallest of its component unless all are null. Copies share a fingerprint and are linked
 through it, so groups of any size cost no pairs. Repeated rows each get a row. Extra columns are ignored.
 """
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.store import written
+from maskwright.llm.store import join_hot, partitions, written
 
 WIDTH = 64
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -78,7 +78,7 @@ def fingerprints(documents: DataFrame, settings: SimHashSettings = SimHashSettin
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     text = documents[text_col].cast("string")
-    rows = documents.select(documents[id_col].cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    rows = documents.select(documents[id_col].try_cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
@@ -240,20 +240,22 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Large-star links a node's greater neighbours to its least neighbour, small-star the others; both keep components,
     and repeated they end in stars. A hub costs one row for each neighbour: least neighbours are found by partial
-    aggregation and joined back.
+    aggregation and joined back, those of hubs by broadcast.
     """
 
+    parts = partitions(links)
+
     def both(e: DataFrame) -> DataFrame:
         return e.select(F.inline(F.array(F.struct(F.col("u").alias("a"), F.col("v").alias("b")), F.struct(F.col("v").alias("a"), F.col("u").alias("b")))))
 
-    def large(e: DataFrame) -> DataFrame:
+    def large(e: DataFrame, rows: int) -> DataFrame:
         near = both(e)
-        least = near.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).withColumn("m", F.least("node", "m"))
-        return near.filter("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        return join_hot(near.filter("b > a"), written(least, "components-least"), ["a"], "n", 2 * rows, parts).select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
 
-    def small(e: DataFrame) -> DataFrame:
-        least = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-        near = e.join(least, F.col("u") == F.col("node"))
+    def small(e: DataFrame, rows: int) -> DataFrame:
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        near = join_hot(e, written(least, "components-least"), ["u"], "n", rows, parts)
         own = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         return near.select(F.inline(own)).filter("u <> v").distinct()
 
@@ -264,7 +266,8 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     links = written(links.distinct(), "components")
     before = mark(links)
     while before[0]:
-        links = written(small(large(links)), "components")
+        links = written(large(links, before[0]), "components")
+        links = written(small(links, before[0]), "components")
         now = mark(links)
         if now == before:
             break
@@ -275,18 +278,23 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 def near_duplicates(documents: DataFrame, settings: SimHashSettings = SimHashSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, text_hash, fp, root (a fingerprint that stands for the component) and component_id."""
     docs = written(fingerprints(documents, settings, id_col, text_col), "simhash-documents")
-    distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fingerprints")
+    distinct = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-fingerprints")
     roots = components(stars(distinct.select("fp"), settings))
-    labelled = distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("v", "fp").alias("root"), "least")
-    least = labelled.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id"))
-    labelled = labelled.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "root", "component_id")
-    return docs.join(labelled, F.col("fp") == F.col("_fp")).drop("_fp")
+    labelled = distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", F.coalesce("v", "fp").alias("root"), "least", "copies")
+    labelled = written(labelled, "simhash-roots")
+    whole = written(labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")), "simhash-components")
+    parts, rows = partitions(documents), distinct.agg(F.count("*").alias("prints"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    # Copies of one text, and members of one component, may be a third of all rows: neither meets in one task.
+    labelled = written(join_hot(labelled, whole, ["root"], "prints", rows["prints"], parts), "simhash-labelled")
+    found = join_hot(docs, labelled.drop("least"), ["fp"], "copies", rows["rows"], parts)
+    return found.select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def one_of_each(documents: DataFrame, settings: SimHashSettings = SimHashSettings()) -> DataFrame:
     """The rows of `documents` that stay: of each component the one with the least identifier (null first), then the
     least text hash; of rows alike in both, one."""
     found = near_duplicates(documents, settings)
+    # Partial aggregation leaves a row for each component in each task, however large the component.
     kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("kept")).select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_hash"))
     rows = documents.withColumn("_own", F.xxhash64(F.coalesce(documents["text"].cast("string"), F.lit(""))))
     rows = rows.join(kept, (F.col("_own") == F.col("_hash")) & documents["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
