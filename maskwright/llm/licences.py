@@ -187,5 +187,5 @@ def scan_licences(documents: DataFrame, templates: Templates | None = None, id_c
                 rows.append({"doc_id": i, "n_matches": len(found), "licence": best[0], "score": best[3], "licences": names, "spans": spans})
             yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    picked = documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
+    picked = documents.select(documents[id_col].try_cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, n_matches long, licence string, score double, licences string, spans string")

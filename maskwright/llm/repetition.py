@@ -209,7 +209,7 @@ def repetition(documents: DataFrame, rules: RepetitionRules = RepetitionRules(),
                 rows = [{"doc_id": i, **r} for i, r in zip(part.column(0).to_pylist(), measure(texts, rules), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
 
-    return documents.select(documents[id_col].cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return documents.select(documents[id_col].try_cast("long").alias("doc_id"), documents[text_col].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
 def keep(documents: DataFrame, rules: RepetitionRules = RepetitionRules(), text_col: str = "text") -> DataFrame:
