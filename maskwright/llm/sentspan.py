@@ -10,7 +10,7 @@ Pieces are counted from a sentence's start, so a passage spliced into a sentence
 window of `passage` words that occurs earlier loses its words too, wherever it starts. Windows are not all shuffled:
 each text is fingerprinted by winnowing (the least hash of `gram` words in each window), which equal windows share, and
 only windows whose fingerprint repeats go on. Of these, windows wholly inside removed runs stay out: one that equals
-them came before, so they are never the first and their words are gone.
+them came before, so they are never the first and their words are gone. Tables that a step has used up are deleted.
 
 Defined results: a null text stays null, with 0 pieces. A text with fewer pieces than a run has and fewer words than a
 passage is kept as it is. n_removed counts the pieces that lose words.
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.store import written
+from maskwright.llm.store import join_hot, partitions, released, written
 
 ENDS = frozenset(b".!?")
 
@@ -214,7 +214,7 @@ def without(text: bytes, removed: list[int], windows: list[int], settings: SpanS
 
 def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = documents[text_col].cast("string")
-    return documents.select(documents[id_col].cast("long").alias("doc_id"), F.xxhash64(documents[id_col], text, F.lit(3)).alias("row_hash"), text.alias("text"))
+    return documents.select(documents[id_col].try_cast("long").alias("doc_id"), F.xxhash64(documents[id_col], text, F.lit(3)).alias("row_hash"), text.alias("text"))
 
 
 PLACES = "doc_id long, row_hash long, place int"
@@ -233,10 +233,11 @@ def hashed_places(part: pa.RecordBatch, found: list[tuple], kind: int | None = N
 
 def later_ones(some: DataFrame, name: str) -> DataFrame:
     """Rows doc_id, row_hash, place that share both hashes with an earlier one."""
-    first = some.groupBy(F.col("h").alias("_h"), F.col("g").alias("_g")).agg(F.min(F.struct("doc_id", "row_hash", "place")).alias("first"))
+    place = F.struct("doc_id", "row_hash", "place")
+    first = some.groupBy(F.col("h").alias("_h"), F.col("g").alias("_g")).agg(F.min(place).alias("first"), F.count("*").alias("_n")).filter("_n > 1")
     first = written(first, name)
-    later = ~F.struct("doc_id", "row_hash", "place").eqNullSafe(F.col("first"))
-    return some.join(first, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).filter(later).select("doc_id", "row_hash", "place")
+    both = join_hot(some.withColumnsRenamed({"h": "_h", "g": "_g"}), first, ["_h", "_g"], "_n", some.count(), partitions(some))
+    return both.filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "row_hash", "place")
 
 
 def repeated(documents: DataFrame, settings: SpanSettings, id_col: str, text_col: str) -> DataFrame:
@@ -252,15 +253,14 @@ def repeated(documents: DataFrame, settings: SpanSettings, id_col: str, text_col
                 yield hashed_places(part, [(h, h, p) for h, p in fingerprints(texts, settings)], 1)
 
     every = _rows(documents, id_col, text_col).mapInArrow(run, f"h long, g long, {PLACES}, kind int")
-    # Tables of their own, so that both sides of the joins are dealt anew and Spark can split the hashes of passages
-    # that very many documents share.
-    twice = every.groupBy(F.col("h").alias("_h"), F.col("kind").alias("_kind")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    twice = written(twice, "spans-twice")
-    return written(every.join(twice, (F.col("h") == F.col("_h")) & (F.col("kind") == F.col("_kind")), "left_semi"), "spans-repeated")
+    twice = every.groupBy("h", "kind").agg(F.count("*").alias("_n")).filter("_n > 1")
+    twice = released(twice, "spans-twice")
+    rows = twice.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return released(join_hot(every, twice, ["h", "kind"], "_n", rows, partitions(documents)), "spans-repeated", twice)
 
 
-def repeated_windows(rows: DataFrame, settings: SpanSettings) -> DataFrame:
-    """Rows doc_id, row_hash, place: the windows that repeat an earlier one. rows: doc_id, row_hash, text, runs, marks."""
+def marked_windows(rows: DataFrame, settings: SpanSettings) -> DataFrame:
+    """Rows h, g, doc_id, row_hash, place: the windows that may repeat. rows: doc_id, row_hash, text, runs, marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,8 +270,7 @@ def repeated_windows(rows: DataFrame, settings: SpanSettings) -> DataFrame:
                 runs, marks = (part.column(k).to_pylist() for k in (3, 4))
                 yield hashed_places(part, [shared_windows(t, r or [], m, settings) for t, r, m in zip(texts, runs, marks, strict=True)])
 
-    some = written(rows.select("doc_id", "row_hash", "text", "runs", "marks").mapInArrow(run, f"h long, g long, {PLACES}"), "spans-windows")
-    return later_ones(some, "spans-first-windows")
+    return rows.select("doc_id", "row_hash", "text", "runs", "marks").mapInArrow(run, f"h long, g long, {PLACES}")
 
 
 def places_of(found: DataFrame, name: str) -> DataFrame:
@@ -281,14 +280,17 @@ def places_of(found: DataFrame, name: str) -> DataFrame:
 def remove_repeats(documents: DataFrame, settings: SpanSettings = SpanSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows doc_id, n_pieces, n_removed, text (what remains) for every row."""
     some = repeated(documents, settings, id_col, text_col)
-    runs = written(places_of(later_ones(some.filter("kind = 0"), "spans-first"), "runs"), "spans-runs")
-    marks = written(places_of(some.filter("kind = 1"), "marks"), "spans-marks")
-    rows = _rows(documents, id_col, text_col)
+    runs = released(places_of(later_ones(some.filter("kind = 0"), "spans-first"), "runs"), "spans-runs")
+    marks = places_of(some.filter("kind = 1"), "marks")
     # Places are far smaller than texts: hashing them spares sorting the texts.
     both = marks.join(runs.withColumnRenamed("_row", "_run"), F.col("_row") == F.col("_run"), "left").select("_row", "runs", "marks")
-    windows = repeated_windows(rows.join(both.hint("shuffle_hash"), F.col("row_hash") == F.col("_row")), settings)
-    windows = places_of(windows, "windows").withColumnRenamed("_row", "_window")
-    places = written(runs.join(windows, F.col("_row") == F.col("_window"), "full_outer").select(F.coalesce("_row", "_window").alias("_row"), "runs", "windows"), "spans-removed")
+    both = released(both, "spans-marks", some)
+    rows = _rows(documents, id_col, text_col)
+    windows = released(marked_windows(rows.join(both.hint("shuffle_hash"), F.col("row_hash") == F.col("_row")), settings), "spans-windows", both)
+    later = released(later_ones(windows, "spans-first-windows"), "spans-later", windows)
+    found = places_of(later, "windows").withColumnRenamed("_row", "_window")
+    places = runs.join(found, F.col("_row") == F.col("_window"), "full_outer").select(F.coalesce("_row", "_window").alias("_row"), "runs", "windows")
+    places = released(places, "spans-removed", runs, later)
     rows = rows.join(places.hint("shuffle_hash"), F.col("row_hash") == F.col("_row"), "left").select("doc_id", "text", "runs", "windows")
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_removed", pa.int64()), ("text", pa.string())])
 
