@@ -1,14 +1,20 @@
-"""Licence scan: parts of a text against licence templates, by the Dice coefficient of their sets of word bigrams.
+"""Licence scan: a text against licence templates, by the Dice coefficient of their sets of word bigrams.
 
-Parts of a text are its lines, the sentences of a line, paragraphs of several lines (between blank lines) and the
-whole text. Text is normalised: lower case, and words are runs of ASCII letters and digits, dots inside numbers kept. A
-template matches a part if 2 |A and B| / (|A| + |B|) is at least the threshold. As the intersection is no larger than
-the smaller set, only templates whose size is between threshold / (2 - threshold) of the part's size and its inverse
-can match; they are a slice of the list of templates by size. Parts with no bigram of any template are passed over.
+Text is normalised: lower case, and words are runs of ASCII letters and digits, dots inside numbers kept. Compared are, first, the
+parts of a text as it is laid out: lines, the sentences of a line, paragraphs of several lines and the whole text; and
+then, wherever they lie, all windows of as many words as a template has, over line ends, blank lines and sentences.
 
-Defined results: a null or empty text, or one with no word pairs, has no matches. Of several parts on the same place
-(a line that is one sentence) one match is given; ties in score go to the template whose name sorts first. Rows are
-independent, so repeated rows and null identifiers get one result each. Extra columns are ignored. Texts are read whole.
+A template matches if 2 |A and B| / (|A| + |B|) is at least the threshold. As the intersection is no larger than the smaller set,
+only templates whose size is between threshold / (2 - threshold) of a part's size and its inverse can match; they are a
+slice of the list of templates by size. The same bound prunes windows: a template is slid over a text only if at least
+threshold / (2 - threshold) of its own bigrams occur in the whole text. Sliding counts the distinct bigrams of all
+windows at once, from the place where each bigram occurred last.
+
+Defined results: a null or empty text, or one with no word pairs, has no matches; an identifier that is no integer counts
+as null. Of several parts on the same place (a line that is one sentence) one match is given; ties in score go to the
+template whose name sorts first. Windows are taken best first, then by start; one that overlaps a part that matched, or a
+window taken before, is left out. Rows are independent, so repeated rows and null identifiers get one result each. Extra
+columns are ignored. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -16,8 +22,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -68,6 +76,42 @@ License as published by the Free Software Foundation, either version 3 of the Li
 version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
 implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
 details."""
+_MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+_LGPL = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any
+later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for
+more details."""
+_AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for
+more details."""
+_EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/"""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of
+this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for
+the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an
+overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to
+https://unlicense.org"""
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software
+is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement,
+including the above license grant, this restriction and the following disclaimer, must be included in all copies of the
+Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are
+solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED
+"AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR
+ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", _MIT),
     ("MIT", "Released under the MIT License."),
@@ -88,6 +132,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("LGPL-2.1", _LGPL),
+    ("AGPL-3.0", _AGPL),
+    ("EPL-2.0", _EPL),
+    ("Unlicense", _UNLICENSE),
+    ("BSL-1.0", _BSL),
+    ("MPL-2.0", _MPL),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("all-rights-reserved", "All rights reserved."),
 )
@@ -102,7 +152,7 @@ Match = tuple[str, int, int, float]
 
 
 def bigrams(text: str) -> frozenset[tuple[str, str]]:
-    words = WORDS.findall(text.lower())
+    words = WORDS.findall(lowered(text))
     return frozenset(zip(words, words[1:], strict=False))
 
 
@@ -110,61 +160,134 @@ def dice(a: frozenset, b: frozenset) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
+@dataclass(frozen=True)
+class Template:
+    name: str
+    words: int
+    bigrams: frozenset
+
+    @property
+    def size(self) -> int:
+        return len(self.bigrams)
+
+
 class Templates:
     """Templates by size, with the bounds that prune them."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> None:
-        self.threshold = threshold
-        self.own = sorted(((len(b := bigrams(text)), name, b) for name, text in templates), key=lambda x: x[:2])
-        self.sizes = [n for n, _, _ in self.own]
+        self.threshold, self.least = threshold, threshold / (2 - threshold)
+        every = (Template(name, len(WORDS.findall(lowered(text))), bigrams(text)) for name, text in templates)
+        self.own = sorted((t for t in every if t.size), key=lambda t: (t.size, t.name))
+        self.sizes = [t.size for t in self.own]
 
     @cached_property
     def any_bigram(self) -> frozenset:
-        return frozenset().union(*(b for _, _, b in self.own))
+        return frozenset().union(*(t.bigrams for t in self.own))
 
     def best(self, part: frozenset) -> tuple[str, float] | None:
         """The best template of at least the threshold."""
-        least, n = self.threshold / (2 - self.threshold), len(part)
+        n = len(part)
         found: tuple[float, str] | None = None
-        for size, name, own in self.own[bisect_left(self.sizes, least * n - 1e-9) : bisect_right(self.sizes, n / least + 1e-9)]:
-            score = dice(part, own) if size else 0.0
-            if score >= self.threshold and (found is None or (-score, name) < found):
-                found = (-score, name)
+        for t in self.own[bisect_left(self.sizes, self.least * n - 1e-9) : bisect_right(self.sizes, n / self.least + 1e-9)]:
+            score = dice(part, t.bigrams)
+            if score >= self.threshold and (found is None or (-score, t.name) < found):
+                found = (-score, t.name)
         return found and (found[1], -found[0])
 
     def scan(self, text: str) -> list[Match]:
         """Matches (licence, start, end, score) in code points, by start; the larger part of a place first."""
+        found, seen = self.in_parts(text)
+        if any(len(seen & t.bigrams) >= self.least * t.size for t in self.own):
+            taken = [m[1:3] for m in found]
+            for match in self.in_windows(text, seen):
+                if not any(a < match[2] and match[1] < b for a, b in taken):
+                    found.append(match)
+                    taken.append(match[1:3])
+        return sorted(found, key=lambda m: (m[1], -m[2]))
+
+    def in_parts(self, text: str) -> tuple[list[Match], set]:
+        """Matches of lines, sentences, paragraphs and the whole text, and the bigrams of templates that the text has."""
         found: dict[tuple[int, int], Match] = {}
 
         def tried(a: int, b: int, own: frozenset) -> None:
             if (a, b) not in found and own and not own.isdisjoint(self.any_bigram) and (match := self.best(own)):
                 found[a, b] = (match[0], a, b, match[1])
 
-        most = self.sizes[-1] * (2 - self.threshold) / self.threshold if self.sizes else 0
+        most = self.sizes[-1] / self.least if self.sizes else 0
         whole: set[tuple[str, str]] = set()
-        near, last = False, ""
+        seen: set[tuple[str, str]] = set()
+        last = ""
         for line in LINE.finditer(text):
-            words = WORDS.findall(line.group().lower())
+            words = WORDS.findall(lowered(line.group()))
             own = frozenset(zip(words, words[1:], strict=False))
             if len(whole) <= most:
                 whole |= own
             if words:  # a pair of words may reach over a line end
-                near = near or (last, words[0]) in self.any_bigram
+                if (last, words[0]) in self.any_bigram:
+                    seen.add((last, words[0]))
                 last = words[-1]
             if own.isdisjoint(self.any_bigram):
                 continue
-            near = True
+            seen |= own & self.any_bigram
             tried(line.start(), line.end(), own)
             parts = [m.span() for m in SENTENCE.finditer(line.group())]
             if len(parts) > 1:
                 for a, b in parts:
                     tried(line.start() + a, line.start() + b, bigrams(line.group()[a:b]))
-        if "\n" in text and near:
+        if "\n" in text and seen:
             for block in PARAGRAPH.finditer(text):
                 tried(*block.span(), bigrams(block.group()))
             if len(whole) <= most:
                 tried(0, len(text), bigrams(text))
-        return sorted(found.values(), key=lambda m: (m[1], -m[2]))
+        return list(found.values()), seen
+
+    def in_windows(self, text: str, seen: set) -> list[Match]:
+        """Matches of windows of a template's number of words, best first, then by start and name; overlaps included.
+        seen: bigrams of templates in the text."""
+        low = lowered(text)
+        places = [m.span() for m in WORDS.finditer(low)]
+        words = [low[a:b] for a, b in places]
+        pairs = list(zip(words, words[1:], strict=False))
+        numbers: dict[tuple[str, str], int] = {}
+        ids = np.fromiter((numbers.setdefault(p, len(numbers)) for p in pairs), np.int64, len(pairs))
+        last = last_places(ids)
+        found = []
+        for t in self.own:
+            if len(seen & t.bigrams) < self.least * t.size or t.words > len(words):
+                continue
+            own = np.zeros(len(numbers) + 1, bool)
+            own[[numbers[p] for p in t.bigrams if p in numbers]] = True
+            size = t.words - 1
+            common, all_of = distinct_in_windows(last, own[ids], size), distinct_in_windows(last, np.ones(len(ids), bool), size)
+            score = 2 * common / (all_of + t.size)
+            found += [(t.name, places[i][0], places[i + size][1], float(score[i])) for i in np.flatnonzero(score >= self.threshold).tolist()]
+        return sorted(found, key=lambda m: (-m[3], m[1], m[0], m[2]))
+
+
+def lowered(text: str) -> str:
+    """Lower case that keeps every place: what has a longer or an ASCII lower case without being ASCII is no letter here."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def last_places(ids: np.ndarray) -> np.ndarray:
+    """For each place the one before it with the same id, or -1."""
+    by = np.argsort(ids, kind="stable")
+    last = np.full(len(ids), -1)
+    same = ids[by][1:] == ids[by][:-1]
+    last[by[1:][same]] = by[:-1][same]
+    return last
+
+
+def distinct_in_windows(last: np.ndarray, counted: np.ndarray, size: int) -> np.ndarray:
+    """For each window of `size` places, how many different ids it has among the counted places. A place is the first of its id
+    in the windows that begin after the place before it with that id."""
+    n = len(last)
+    at = np.flatnonzero(counted)
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, np.maximum(last[at] + 1, at - size + 1).clip(0), 1)
+    np.subtract.at(change, at + 1, 1)
+    return np.cumsum(change)[: max(0, n - size + 1)]
 
 
 SCHEMA = pa.schema(

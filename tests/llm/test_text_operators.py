@@ -139,7 +139,7 @@ def test_licence_scan_equals_all_pairs():
         lines.append(" ".join(words[: rng.choice([len(words), 8])]))
     for line in lines:
         own = licences.bigrams(line)
-        every = [(-licences.dice(own, licences.bigrams(t)), name) for name, t in licences.TEMPLATES]
+        every = [(-licences.dice(own, licences.bigrams(t)), name) for name, t in licences.TEMPLATES]  # all pairs
         best = min(every)
         assert templates.best(own) == ((best[1], -best[0]) if -best[0] >= 0.8 else None)
 
@@ -162,7 +162,50 @@ def test_scan_equals_trying_every_part():
             score, name = min((-licences.dice(own, licences.bigrams(t)), n) for n, t in licences.TEMPLATES)
             if own and -score >= 0.8:
                 want.add((name, a, b, -score))
-        assert {m for m in templates.scan(text) if m[2] - m[1] < len(text)} == {m for m in want if m[2] - m[1] < len(text)}
+        found, seen = templates.in_parts(text)
+        assert {m for m in found if m[2] - m[1] < len(text)} == {m for m in want if m[2] - m[1] < len(text)}
+        assert seen == licences.bigrams(text) & templates.any_bigram
+
+
+def test_windows_equal_trying_every_window():
+    """Damaged templates anywhere in prose, over line ends and blank lines, against the sets of every window of each template's length."""
+    rng = random.Random(17)
+    own = [(n, t) for n, t in licences.TEMPLATES if len(t) < 900]
+    templates = licences.Templates(tuple(own))
+    for _ in range(25):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            words += prose(rng.randrange(10**6), rng.randint(0, 60)).split()
+            body = rng.choice(own)[1].split()
+            for _ in range(rng.choice([0, 0, 2, 12])):
+                body[rng.randrange(len(body))] = prose(rng.randrange(99), 1)
+            words += body
+        text = "".join(w + rng.choice([" ", " ", " ", "\n", "\n\n", "\u0130 "]) for w in words)
+        spans = [m.span() for m in licences.WORDS.finditer(licences.lowered(text))]
+        low = [licences.lowered(text)[a:b] for a, b in spans]
+        want = []
+        for name, body in own:
+            size, target = len(licences.WORDS.findall(body.lower())), licences.bigrams(body)
+            for i in range(len(low) - size + 1):
+                score = licences.dice(frozenset(zip(low[i : i + size], low[i + 1 : i + size], strict=False)), target)
+                if score >= 0.8:
+                    want.append((name, spans[i][0], spans[i + size - 1][1], score))
+        assert sorted(templates.in_windows(text, templates.in_parts(text)[1])) == sorted(want)
+
+
+def test_licences_inside_longer_texts():
+    """The usual layout with blank lines between 60 lines of prose; a notice inside a line; one that is wrapped; a full text's notice."""
+    templates, around = licences.Templates(), "\n".join(prose(i, 12) for i in range(60))
+    body = licences.TEMPLATES[0][1]
+    cut = [body.index("The above copyright"), body.index("THE SOFTWARE IS PROVIDED")]
+    laid_out = "\n\n".join([body[: cut[0]].strip(), body[cut[0] : cut[1]].strip(), body[cut[1] :]])
+    assert [(m[0], m[3]) for m in templates.scan(f"{around}\n\n{laid_out}\n\n{around}")] == [("MIT", 1.0)]
+    flat = " ".join(body.split())
+    assert [m[0] for m in templates.scan(f"{prose(1, 80)} {flat} {prose(2, 80)}")] == ["MIT"]
+    for name, text in licences.TEMPLATES:
+        wrapped = prose(3, 30) + "\n" + text.replace(" ", "\n", 3) + " " + prose(4, 30)
+        assert name in {m[0] for m in templates.scan(wrapped)}, text
+    assert templates.scan(around) == []
 
 
 def test_licences_awkward(awkward, nothing, spark):
