@@ -2,10 +2,13 @@
 
 Each source's words, in a pseudorandom order of its documents, form a stream that is cut into blocks of fixed length
 (the last one may be shorter). The quota of a source is the number of blocks whose expected words are its target.
-Output slots are a pseudorandom permutation of all quotas, dealt into shards of fixed size; so the counts of sources
-in the shards are a multinomial draw, conditioned on every source meeting its quota in the end. The n-th slot of a
-source goes to epoch n div blocks, and a permutation of that source and epoch gives the block, so no block is taken
-again before all have been. Slots and blocks meet in a join by source and block.
+The output has as many slots as the quotas together, dealt into shards of fixed size. Every slot draws a source with
+the probability of its quota, by a hash of shard and slot: the counts of sources in a shard are a multinomial draw,
+independent of those in other shards. The draws of a source are numbered through the shards. What it draws beyond its quota
+is settled in the end: those slots, in a pseudorandom order, go to the sources that drew less than their quota.
+
+The n-th slot of a source goes to epoch n div blocks, and a permutation of that source and epoch gives the block, so no
+block is taken again before all have been. Slots and blocks meet in a join by source and block.
 
 Targets: sources in code point order (null last) weigh 1, 2, 3, 1, ...; each gets its share of all words by weight,
 but no more than `most_epochs` times its own; what is left goes to the others by weight.
@@ -23,15 +26,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.runindex import BEFORE, permuted, running_sum
+from maskwright.llm.runindex import permuted, running_sum
 from maskwright.llm.store import written
+from maskwright.operators.numbering import numbered, ordered_sums
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
 class MixSettings:
-    """broadcast_sources: the table of sources (a row each) is broadcast only up to so many rows."""
+    """chunk: slots or draws that one row of a step stands for. broadcast_sources: the table of sources (a row each) is
+    broadcast only up to so many rows."""
 
     block_words: int = 64
     shard_slots: int = 4096
@@ -53,23 +58,18 @@ def targets(sizes: DataFrame, most_epochs: int) -> DataFrame:
     """sizes: a row for each source, with source_size. Adds sid, weight and target.
 
     Caps bind in the order of cap over weight; a source is capped if its cap is at most its share of what the sources
-    before it leave. A window over one row for each source.
+    before it leave. Sums in an order run over ranges of it, so sources may be as many as rows.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("sid", F.row_number().over(order).cast("long")).withColumn("weight", F.pmod(F.col("sid") - 1, F.lit(3)) + 1)
-    cap = F.col("source_size") * F.lit(float(most_epochs))
-    every = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tight = Window.orderBy(F.col("_cap") / F.col("weight"), "sid").rowsBetween(*BEFORE)
-    ranked = ranked.withColumn("_cap", cap).withColumn("_all", F.sum("source_size").over(every).cast("double")).withColumn("_weights", F.sum("weight").over(every))
-    ranked = ranked.withColumn("_words_left", F.col("_all") - F.coalesce(F.sum("_cap").over(tight), F.lit(0.0)))
-    ranked = ranked.withColumn("_weights_left", F.col("_weights") - F.coalesce(F.sum("weight").over(tight), F.lit(0)))
-    ranked = ranked.withColumn("_bound", F.col("_cap") * F.col("_weights_left") <= F.col("weight") * F.col("_words_left"))
-    bound_words = F.coalesce(F.sum(F.when(F.col("_bound"), F.col("_cap"))).over(every), F.lit(0.0))
-    bound_weights = F.coalesce(F.sum(F.when(F.col("_bound"), F.col("weight"))).over(every), F.lit(0))
-    ranked = ranked.withColumn("_level", (F.col("_all") - bound_words) / F.nullif(F.col("_weights") - bound_weights, F.lit(0)))
-    return ranked.withColumn("target", F.when(F.col("_bound"), F.col("_cap")).otherwise(F.col("weight") * F.col("_level"))).select(
-        "source", "source_size", "sid", "weight", "target"
-    )
+    ranked = numbered(sizes, (F.col("source").isNull(), "source"), "sid").withColumn("weight", F.pmod(F.col("sid") - 1, F.lit(3)) + 1)
+    ranked = ranked.withColumn("_cap", F.col("source_size") * most_epochs)
+    every = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weights")).first()
+    ranked = ordered_sums(ranked, (F.col("_cap") / F.col("weight"), "sid"), {"_capped": "_cap", "_passed": "weight"})
+    left, weights = every["words"] - F.col("_capped"), every["weights"] - F.col("_passed")
+    ranked = written(ranked.withColumn("_bound", F.col("_cap") * weights <= F.col("weight") * left), "mix-targets")
+    bound = ranked.filter("_bound").agg(F.coalesce(F.sum("_cap"), F.lit(0)).alias("words"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weights")).first()
+    level = (every["words"] - bound["words"]) / max(1, every["weights"] - bound["weights"])
+    target = F.when(F.col("_bound"), F.col("_cap").cast("double")).otherwise(F.col("weight") * F.lit(float(level)))
+    return ranked.withColumn("target", target).select(*sizes.columns, "sid", "weight", "target")
 
 
 def row_hashes(id_col: str, source_col: str, text: Column) -> dict[str, Column]:
@@ -91,10 +91,9 @@ def mix(documents: DataFrame, settings: MixSettings = MixSettings(), id_col: str
     sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / length).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(F.lit(0.0)).cast("long")
     sources = sources.withColumn("quota", F.least(quota, F.col("blocks") * settings.most_epochs))
-    sources = sources.withColumn("first_slot", F.coalesce(F.sum("quota").over(Window.orderBy("sid").rowsBetween(*BEFORE)), F.lit(0)))
-    sources = written(sources, "mix-sources")
+    sources = written(ordered_sums(sources, ("sid",), {"first_slot": "quota"}), "mix-sources")
     facts = sources.agg(F.count("*").alias("n"), F.coalesce(F.sum("quota"), F.lit(0)).alias("slots")).first()
-    few = F.broadcast(sources) if facts["n"] <= settings.broadcast_sources else sources
+    few = few_or_all(sources, facts["n"], settings)
     placed = sized.join(few.select(F.col("source").alias("_source"), "sid", "source_size", "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     placed = written(running_sum(placed, sized.count(), "sid", "size", ["doc_hash", "text_hash", "size"], "start"), "mix-places")
 
@@ -104,20 +103,57 @@ def mix(documents: DataFrame, settings: MixSettings = MixSettings(), id_col: str
     last = F.least((F.col("block") + 1) * length - F.col("start"), F.col("size"))
     blocks = blocks.select("sid", "block", "start", first.alias("first_word"), (last - first).alias("words"))
 
-    chunk = max(settings.chunk, facts["slots"] // 65536)
-    slots = sources.filter("quota > 0").select("sid", "blocks", "quota", "first_slot", F.explode(F.sequence(F.lit(0), F.floor((F.col("quota") - 1) / chunk))).alias("chunk"))
-    parts = int(max(1, min(facts["slots"] // chunk + facts["n"], int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    slots = slots.repartition(parts, "sid", "chunk")
-    start = F.col("chunk") * chunk
-    slots = slots.select("sid", "blocks", "first_slot", F.explode(F.sequence(start, F.least(start + chunk, F.col("quota")) - 1)).alias("nth"))
-    slots = slots.select(
-        "sid", "blocks", F.floor(F.col("nth") / F.col("blocks")).alias("epoch"), F.pmod("nth", "blocks").alias("turn"),
-        (F.col("first_slot") + F.col("nth")).alias("at"), F.lit(max(1, facts["slots"])).cast("long").alias("all_slots"),
-    )
-    slots = permuted(permuted(slots, "turn", "blocks", ["sid", "epoch"], "block"), "at", "all_slots", [], "place")
-    slots = slots.select("sid", "block", "epoch", F.floor(F.col("place") / settings.shard_slots).alias("shard"), F.pmod("place", F.lit(settings.shard_slots)).alias("slot"))
     # Written before the join: else the optimiser pushes the join's null filter through all rounds, doubling it in each.
-    return Mix(placed, written(slots, "mix-slots").join(blocks, ["sid", "block"]))
+    return Mix(placed, written(drawn(sources, facts["slots"], facts["n"], settings), "mix-slots").join(blocks, ["sid", "block"]))
+
+
+def drawn(sources: DataFrame, slots: int, n_sources: int, settings: MixSettings) -> DataFrame:
+    """sources: sid, blocks, quota, first_slot. Rows sid, block, epoch, shard, slot: a block for each of `slots` slots.
+
+    Quotas lie end to end on a line of `slots` places, and a slot draws a place: the chunk of the line that it falls into finds
+    the source, by an equal join, however many sources there are.
+    """
+    spark, size = sources.sparkSession, settings.shard_slots
+    chunk = max(settings.chunk, slots // 65536)
+    chunks = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk)))
+    line = sources.filter("quota > 0").withColumn("_end", F.col("first_slot") + F.col("quota"))
+    parts = F.sequence(F.floor(F.col("first_slot") / chunk), F.floor((F.col("_end") - 1) / chunk))
+    line = line.select(F.col("sid").alias("own"), "first_slot", "_end", F.explode(parts).alias("chunk"))
+    many = int(max(1, min(slots // chunk + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    every = spark.range(0, max(1, -(-slots // chunk)), 1, many).select((F.col("id") * chunk).alias("_from"))
+    every = every.select(F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + chunk, F.lit(slots)) - 1)).alias("at")).filter(F.col("at") < slots)
+    shard, slot = F.floor(F.col("at") / size), F.pmod("at", F.lit(size))
+    place = F.pmod(F.xxhash64(shard, slot, F.lit(31)), F.lit(max(1, slots)))
+    every = every.select(shard.alias("shard"), slot.alias("slot"), place.alias("_place")).withColumn("chunk", F.floor(F.col("_place") / chunk))
+    found = every.join(line, "chunk").filter((F.col("_place") >= F.col("first_slot")) & (F.col("_place") < F.col("_end")))
+    found = written(found.select("shard", "slot", F.col("own").alias("sid")), "mix-draws")
+
+    counts = written(found.groupBy("sid", "shard").agg(F.count("*").alias("draws")), "mix-counts")
+    before = ordered_sums(counts, ("sid", "shard"), {"_before": "draws"})
+    totals = counts.groupBy(F.col("sid").alias("own")).agg(F.sum("draws").alias("drawn"))
+    whole = sources.join(totals, F.col("sid") == F.col("own"), "left").select("sid", "blocks", "quota", F.coalesce("drawn", F.lit(0)).alias("drawn"))
+    whole = written(ordered_sums(whole, ("sid",), {"first_draw": "drawn", "first_short": F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))}), "mix-settled")
+    before = before.join(whole.select("sid", "quota", "first_draw"), "sid")
+    before = before.select("sid", "shard", "quota", (F.col("_before") - F.col("first_draw")).alias("_before"))
+    # A shard has at most shard_slots slots, so no window is larger.
+    inside = F.row_number().over(Window.partitionBy("sid", "shard").orderBy("slot")) - 1
+    found = found.withColumn("_inside", inside).join(before, ["sid", "shard"]).withColumn("nth", F.col("_before") + F.col("_inside"))
+    found = written(found.select("sid", "shard", "slot", "nth", "quota"), "mix-numbered")
+
+    fine = found.filter("nth < quota").select("sid", "nth", "shard", "slot")
+    over = ordered_sums(found.filter("nth >= quota"), (F.xxhash64("shard", "slot", F.lit(37)), "shard", "slot"), {"_turn": F.lit(1).cast("long")})
+    short = whole.filter("drawn < quota").select("sid", "quota", "drawn", "first_short", chunks(F.col("quota") - F.col("drawn")).alias("_c"))
+    short = short.select("sid", "drawn", "quota", "first_short", F.explode(F.sequence(F.col("_c") * chunk, F.least((F.col("_c") + 1) * chunk, F.col("quota") - F.col("drawn")) - 1)).alias("_k"))
+    short = short.select("sid", (F.col("drawn") + F.col("_k")).alias("nth"), (F.col("first_short") + F.col("_k")).alias("_turn"))
+    slots_of = fine.unionByName(short.join(over.select("_turn", "shard", "slot"), "_turn").select("sid", "nth", "shard", "slot"))
+    slots_of = written(slots_of.join(few_or_all(sources, n_sources, settings).select("sid", "blocks"), "sid"), "mix-settled-slots")
+    turns = slots_of.select("sid", "shard", "slot", "blocks", F.floor(F.col("nth") / F.col("blocks")).alias("epoch"), F.pmod("nth", "blocks").alias("turn"))
+    return permuted(turns, "turn", "blocks", ["sid", "epoch"], "block").select("sid", "block", "epoch", "shard", "slot")
+
+
+def few_or_all(sources: DataFrame, n: int, settings: MixSettings) -> DataFrame:
+    """The table of sources, to be broadcast if its size, which is checked, is small."""
+    return F.broadcast(sources) if n <= settings.broadcast_sources else sources
 
 
 def taken_words(mixed: Mix) -> DataFrame:

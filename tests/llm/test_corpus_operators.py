@@ -267,6 +267,23 @@ def test_mix_takes_its_targets_and_reruns_agree(spark):
     assert shards.count() == shards.select("shard", "slot").distinct().count() == shards.select("sid", "epoch", "block").distinct().count()
 
 
+def test_draws_are_multinomial_and_settled(spark):
+    """Shards' counts of sources against a multinomial draw, and every source's number of slots against its quota."""
+    quotas = [5000, 3000, 1500, 400, 100, 0]
+    rows = [(i + 1, max(1, q // 2), q, sum(quotas[:i])) for i, q in enumerate(quotas)]
+    sources = spark.createDataFrame(rows, "sid long, blocks long, quota long, first_slot long")
+    settings = mixture.MixSettings(shard_slots=200, chunk=512)
+    found = mixture.drawn(sources, sum(quotas), len(quotas), settings).collect()
+    again = mixture.drawn(sources.repartition(3), sum(quotas), len(quotas), settings).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+    assert len({(r["shard"], r["slot"]) for r in found}) == len(found) == 10_000 and len({(r["sid"], r["epoch"], r["block"]) for r in found}) == 10_000
+    assert [sum(r["sid"] == i + 1 for r in found) for i in range(6)] == quotas
+    for i, q in enumerate(quotas[:4]):
+        counts = np.bincount([r["shard"] for r in found if r["sid"] == i + 1], minlength=50)
+        share = q / 10_000
+        assert 0.5 < counts.var() / (200 * share * (1 - share)) < 1.6
+
+
 def test_mix_awkward(awkward, nothing):
     mixed = mixture.mix(awkward)
     found = mixture.taken_words(mixed).collect()
