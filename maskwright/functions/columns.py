@@ -62,7 +62,7 @@ def serials_found(text: Column) -> Column:
 
 def ipv4_number(ip: Column) -> Column:
     """The address as a number; null unless it has four numeric parts."""
-    part = lambda i: F.get(F.split(ip, r"\."), F.lit(i)).try_cast("long")
+    part = lambda i: F.get(F.split(ip, r"\."), F.lit(i)).try_cast("int").cast("long")
     return part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3)
 
 

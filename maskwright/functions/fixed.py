@@ -140,6 +140,22 @@ FIELD_KINDS = {
     "full-name": "person", "serial": "serial", "panorama-server": "fqdn", "ntp-server-address": "fqdn",
 }
 SYSTEM_INFO_KEYS = {"hostname": "host", "devicename": "host", "domain": "host", "serial": "serial"}
+
+# What a policy scan looks for.
+POLICY_TLDS = (
+    "com", "net", "org", "fr", "io", "de", "uk", "eu", "ch", "be", "nl", "es", "ru", "cn", "biz", "cloud", "ovh", "xyz", "online", "site",
+    "tech", "ai", "ca", "lu", "pt", "pl", "se", "dk", "fi", "ie", "jp", "kr", "br", "au", "nz", "edu", "gov", "mil", "local", "lan",
+    "corp", "internal",
+)
+_ENDINGS = "|".join(POLICY_TLDS + RESERVED_TLDS)
+POLICY_SUFFIX = rf"(?i)\.(?:{_ENDINGS})(?![{LETTER}-])"
+POLICY_HOST = rf"(?i)(?<![{LETTER}.-])((?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+(?:{_ENDINGS}))(?![{LETTER}-])"
+POLICY_MAIL = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+POLICY_SERIAL = r"(?<![0-9.])0[0-9]{11}(?![0-9.])"
+POLICY_ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])"
+POLICY_ACCOUNT = rf"(?<![{LETTER}\\])[A-Za-z][A-Za-z0-9-]{{1,14}}\\{{1,2}}[A-Za-z][A-Za-z0-9._-]{{2,}}"
+POLICY_SKIPPED_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".ico", ".svg", ".woff", ".woff2", ".pdf", ".lock")
+POLICY_SKIPPED_FOLDERS = (".git", "node_modules", "__pycache__", ".venv")
 # End of fixed values.
 
 

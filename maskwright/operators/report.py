@@ -96,6 +96,17 @@ def interrupted(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "interrupted").otherwise(F.col("status")))
 
 
+def quiet_for(log: DataFrame, key: str, ts: str, now: Column) -> DataFrame:
+    """Seconds from the last row of each key to `now`: how long a job has said nothing."""
+    return log.groupBy(key).agg(F.max(ts).alias("_last")).select(key, ((F.unix_micros(now) - F.unix_micros(F.col("_last").cast("timestamp"))) / 1e6).alias("quiet"))
+
+
+def startable(jobs: DataFrame, key: str = "id", parent: str = "seed_from", status: str = "status") -> DataFrame:
+    """Queued jobs whose ancestors are all at rest, the oldest first: what a queue would start next."""
+    clear = chain_clear(jobs, key, parent, F.col(status).isin("queued", "running")).filter("clear").select(F.col(key).alias("_key"))
+    return jobs.filter(F.col(status) == "queued").join(clear, F.col(key) == F.col("_key"), "left_semi").orderBy("created_at", key)
+
+
 def device_of(name: Column) -> Column:
     """The device part of an archive's name: without suffix, dates, times and generic words."""
     own = F.regexp_replace(name, r"(?i)(\.tar\.gz|\.tgz|\.tar)$", "")

@@ -52,8 +52,8 @@ DOC_IPS = ips("documents", "doc_id", "text")
 DOC_MAILS = emails("documents", "doc_id", "text")
 
 
-def tree(ip: str) -> str:
-    """The address text of the pseudonym of a strict address that is not kept."""
+def tree(ip: str, source: str | None = None) -> str:
+    """Rows ip, fake: the address text of the pseudonym of each strict address of the source that is not kept."""
     n = number(ip)
     pick = lambda values, other: "CASE " + " ".join(f"WHEN {inside('n', a, p)} THEN {v}" for (a, p), v in zip(fixed.TREE_CLASSES, values, strict=True)) + f" ELSE {other} END"
     start = pick([p for _, p in fixed.TREE_CLASSES], 4)
@@ -69,15 +69,11 @@ def tree(ip: str) -> str:
       SELECT ip, any_value(base) + sum(CASE WHEN bit >= start THEN ({new}) * (1::BIGINT << (31 - bit)) ELSE 0 END)::BIGINT AS f FROM (
         SELECT *, unnest(range(4, 32)) AS bit FROM (
           SELECT ip, n, lpad(bin(n), 32, '0') AS b, {start} AS start, {head} AS head, {base}::BIGINT AS base, {stop} AS stop
-          FROM (SELECT DISTINCT ip, {n} AS n FROM ({ip_source()}) WHERE NOT regexp_matches(ip, '(^|\\.)0[0-9]'))
+          FROM (SELECT DISTINCT ip, {n} AS n FROM ({source or DOC_IPS}) WHERE NOT regexp_matches(ip, '(^|\\.)0[0-9]'))
           WHERE NOT {any_class('n', fixed.KEPT_CLASSES)}))
       GROUP BY ip)"""
 
 
-def ip_source() -> str:
-    return DOC_IPS
-
-
 MAPPING = tree("ip")
 SEGMENTS = f"""SELECT doc_id, string_agg(coalesce(fake || substring(seg, length(ip) + 1), seg), '' ORDER BY pos) AS new FROM (
   SELECT doc_id, pos, seg, CASE WHEN regexp_full_match(seg, '{IP_RUN}') THEN regexp_extract(seg, '{IP_RUN}', 1) END AS own FROM (
@@ -111,7 +107,11 @@ def oracle_sql() -> dict[str, str]:
     containing = " UNION ".join(f"SELECT DISTINCT ({number_ip} >> {32 - p}) << {32 - p} AS net, {p} AS plen FROM ({DOC_IPS})" for p in (8, 12, 16, 24, 32))
     net_text = " || '.' || ".join(f"((net >> {s}) & 255)::VARCHAR" for s in (24, 16, 8, 0))
     public = f"NOT {any_class(number('value'), [(sum(int(p) << s for p, s in zip(n.split('/')[0].split('.'), (24, 16, 8, 0), strict=True)), int(n.split('/')[1])) for n in fixed.RESERVED_NETWORKS])}"
-    return {
+    from maskwright.plans import fleet_oracles
+
+    return fleet_oracles.oracle_sql() | {
+        "q45_text_verdicts": f"""WITH {FILES} SELECT doc_id, CASE WHEN changed > 0 THEN 'anonymized' ELSE 'identical' END AS status, changed AS changed_lines, changed AS explained_lines,
+            0 AS unexplained_lines, 0 AS leak_count FROM files""",
         "q01_detect_ipv4": f"SELECT id AS doc_id, ip, count(*) AS n FROM ({DOC_IPS}) GROUP BY ALL",
         "q02_detect_email": f"""WITH {TEXTS} SELECT source, id, lower(email) AS email, count(*) AS n FROM (
             SELECT 'documents' AS source, * FROM ({DOC_MAILS}) UNION ALL SELECT 'pages', * FROM ({emails('pages', 'page_id', 'html')})) GROUP BY ALL""",
