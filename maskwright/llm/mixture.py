@@ -4,8 +4,9 @@ Each source's words, in a pseudorandom order of its documents, form a stream tha
 (the last one may be shorter). The quota of a source is the number of blocks whose expected words are its target.
 The output has as many slots as the quotas together, dealt into shards of fixed size. Every slot draws a source with
 the probability of its quota, by a hash of shard and slot: the counts of sources in a shard are a multinomial draw,
-independent of those in other shards. The draws of a source are numbered through the shards. What it draws beyond its quota
-is settled in the end: those slots, in a pseudorandom order, go to the sources that drew less than their quota.
+independent of those in other shards. The draws of a source are numbered in a pseudorandom order of slots. What it draws
+beyond its quota is settled in the end: those slots, which lie in all shards, go in a pseudorandom order to the sources that
+drew less than their quota.
 
 The n-th slot of a source goes to epoch n div blocks, and a permutation of that source and epoch gives the block, so no
 block is taken again before all have been. Slots and blocks meet in a join by source and block.
@@ -128,16 +129,12 @@ def drawn(sources: DataFrame, slots: int, n_sources: int, settings: MixSettings)
     found = every.join(line, "chunk").filter((F.col("_place") >= F.col("first_slot")) & (F.col("_place") < F.col("_end")))
     found = written(found.select("shard", "slot", F.col("own").alias("sid")), "mix-draws")
 
-    counts = written(found.groupBy("sid", "shard").agg(F.count("*").alias("draws")), "mix-counts")
-    before = ordered_sums(counts, ("sid", "shard"), {"_before": "draws"})
-    totals = counts.groupBy(F.col("sid").alias("own")).agg(F.sum("draws").alias("drawn"))
+    totals = found.groupBy(F.col("sid").alias("own")).agg(F.count("*").alias("drawn"))
     whole = sources.join(totals, F.col("sid") == F.col("own"), "left").select("sid", "blocks", "quota", F.coalesce("drawn", F.lit(0)).alias("drawn"))
-    whole = written(ordered_sums(whole, ("sid",), {"first_draw": "drawn", "first_short": F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))}), "mix-settled")
-    before = before.join(whole.select("sid", "quota", "first_draw"), "sid")
-    before = before.select("sid", "shard", "quota", (F.col("_before") - F.col("first_draw")).alias("_before"))
-    # A shard has at most shard_slots slots, so no window is larger.
-    inside = F.row_number().over(Window.partitionBy("sid", "shard").orderBy("slot")) - 1
-    found = found.withColumn("_inside", inside).join(before, ["sid", "shard"]).withColumn("nth", F.col("_before") + F.col("_inside"))
+    whole = written(ordered_sums(whole, ("sid",), {"first_short": F.greatest(F.col("quota") - F.col("drawn"), F.lit(0))}), "mix-settled")
+    # A pseudorandom order of slots, so that what is beyond a quota comes from all shards alike.
+    found = running_sum(found.withColumn("_one", F.lit(1).cast("long")), slots, "sid", "_one", ["shard", "slot"], "nth")
+    found = found.join(few_or_all(whole, n_sources, settings).select("sid", "quota"), "sid")
     found = written(found.select("sid", "shard", "slot", "nth", "quota"), "mix-numbered")
 
     fine = found.filter("nth < quota").select("sid", "nth", "shard", "slot")
