@@ -44,15 +44,36 @@ def test_every_query_has_its_sql():
 def test_stream_equals_batch(spark):
     streamed = {r["doc_id"]: r["digest"] for r in demonstrations.q44_stream_rewrite(spark, SF).collect()}
     docs = queries.table(spark, SF, "documents")
-    found = queries.document_emails(spark, SF).select(F.col("email").alias("value"), F.struct("doc_id", "pos").alias("seq"))
     from maskwright.operators import rewrite
+    from maskwright.streaming import incremental
 
-    hosts = allocate.map_hosts(found.select(F.substring_index(F.lower("value"), "@", -1).alias("value"), "seq"))
-    mapping = rewrite.collected(hosts.unionByName(allocate.map_emails(found, hosts)))
+    mapping = rewrite.collected(allocate.map_names(incremental.text_identities(docs, "doc_id", "text")))
     batch = rewrite.rewrite_texts(queries.rewritten_documents(spark, SF).select("doc_id", F.col("new").alias("text")), "text", mapping)
     assert streamed == {r["doc_id"]: r["d"] for r in batch.select("doc_id", F.md5("text").alias("d")).collect()} and len(streamed) == docs.count()
 
 
+def test_stream_keeps_pseudonyms_across_batches(spark, tmp_path):
+    """Two batches: what the first has numbered keeps its pseudonym, new identities count on, kinds do not mix."""
+    from maskwright.streaming import incremental
+
+    texts = ("login for user 'jsmith' hostname: fw-edge-1 sn 001234567890 mail a@corp.org", "user='jsmith' user='mdoe' hostname: fw-edge-2 sn 001234567890 sn 001234567891", None)
+    for i, text in enumerate(texts):
+        spark.createDataFrame([(i, text)], "i long, t string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("i long, t string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.incremental(stream, "i", "t", "seed", str(tmp_path / "run")).awaitTermination()
+    mapping = spark.read.parquet(str(tmp_path / "run/mapping")).collect()
+    assert len({r["batch"] for r in mapping}) > 1
+    by = {(r["category"], r["original"]): r["pseudonym"] for r in mapping}
+    assert len(by) == len(mapping) == len(set(by.values()))
+    assert {k for k in by if k[0] in ("usernames", "serial_numbers")} == {
+        ("usernames", "jsmith"), ("usernames", "mdoe"), ("serial_numbers", "001234567890"), ("serial_numbers", "001234567891")
+    }
+    out = {r["i"]: r["t"] for r in spark.read.parquet(str(tmp_path / "run/out")).collect()}
+    assert out[2] is None and not any(word in out[0] + out[1] for word in ("jsmith", "mdoe", "fw-edge", "0012345", "corp.org"))
+    user, serial = by["usernames", "jsmith"], by["serial_numbers", "001234567890"]
+    assert f"'{user}'" in out[0] and f"'{user}'" in out[1] and serial in out[0] and serial in out[1]
+
+
 def test_native_rewrite_is_fully_explained(spark):
     rows = demonstrations.q45_text_verdicts(spark, "/root/testdata/sf0.01").collect()
     assert {r["status"] for r in rows} == {"identical", "anonymized"} and sum(r["changed_lines"] for r in rows) == sum(r["explained_lines"] for r in rows) > 10
