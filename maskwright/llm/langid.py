@@ -2,8 +2,8 @@
 
 Texts are lower-cased, everything but letters becomes a space, runs of spaces collapse, and the n-grams of one
 to three characters are hashed into a fixed number of buckets. Counts for each language are summed by Spark; the
-smoothed log-probability matrix (languages x buckets, so bounded by parameters and the number of languages) is
-broadcast, and batches of texts are scored as a sparse product: bucket ids gathered from the matrix and added up
+smoothed log-probability matrix (languages x buckets, at most 128 MB by default: more languages than the limit are an
+error) is broadcast, and batches of texts are scored as a sparse product: bucket ids gathered from the matrix and added up
 between the offsets of the rows.
 
 Defined results: a null text, or one without letters, is `und` with score 0. With nothing to learn from, every
@@ -27,12 +27,14 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageSettings:
-    """sample_per_language: the expected number of labelled rows of each language to learn from, at most."""
+    """sample_per_language: the expected number of labelled rows of each language to learn from, at most.
+    most_languages: bounds the matrix that is broadcast, and each task's counts; beyond it training raises ValueError."""
 
     orders: tuple[int, ...] = (1, 2, 3)
     bucket_bits: int = 14
     smoothing: float = 0.5
     sample_per_language: int = 5000
+    most_languages: int = 1024
     block_chars: int = 400_000
 
 
@@ -113,7 +115,10 @@ def train(labelled: DataFrame, settings: LanguageSettings = LanguageSettings())
     """labelled: columns id, lang, text. Rows are sampled by a hash of the id, so reruns agree."""
     spark = labelled.sparkSession
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = dict(sorted((r["lang"], r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()))
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.most_languages + 1).collect()
+    if len(counted) > settings.most_languages:
+        raise ValueError(f"more than {settings.most_languages} languages to learn")
+    sizes = dict(sorted((r["lang"], r["n"]) for r in counted))
     if not sizes:
         return LanguageModel((), np.zeros(0), np.zeros((1 << settings.bucket_bits, 0)), settings)
     names = list(sizes)

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 from conftest_llm import CLASHES, prose, shown
+import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import gbquality, langid, licences, repetition
@@ -97,6 +98,8 @@ def test_language_awkward(awkward, nothing, spark):
     assert found.columns == ["doc_id", "held_out", "lang_pred", "score"] and found.count() == awkward.count()
     by = {r["doc_id"]: r for r in found.collect()}
     assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (1, 2, 3, 6, 13)) and by[12]["lang_pred"] != "und"
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        langid.train(spark.createDataFrame(rows, "id long, lang string, text string"), langid.LanguageSettings(most_languages=1))
     empty = langid.train(nothing.selectExpr("doc_id as id", "lang", "text"))
     assert {tuple(r)[1:] for r in langid.identify(awkward, empty).collect()} == {("und", 0.0)}
     assert langid.identify(nothing, model).count() == 0
