@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from maskwright.functions import columns as C
-from maskwright.operators import allocate, detect, rewrite
+from maskwright.operators import allocate, detect, rewrite_joined
 
 MAPPING = "category string, original string, pseudonym string"
 
@@ -57,7 +57,7 @@ def incremental(stream: DataFrame, id_col: str, text_col: str, seed: str, folder
         new = mapping.join(known.select(F.col("category").alias("_c"), F.col("original").alias("_o")), (F.col("category") == F.col("_c")) & (F.col("original") == F.col("_o")), "left_anti")
         new.write.mode("overwrite").parquet(f"{folder}/mapping/batch={batch}")
         whole = mapping_before(spark, f"{folder}/mapping", batch + 1)
-        out = rewrite.rewrite_texts(rewrite_stream(rows, text_col, seed), text_col, rewrite.collected(whole))
+        out = rewrite_joined.rewrite_texts(rewrite_stream(rows, text_col, seed), text_col, whole)
         out.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
         found.unpersist()
         rows.unpersist()

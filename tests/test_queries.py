@@ -246,6 +246,40 @@ def test_text_verdicts_need_no_limit(spark, monkeypatch):
     assert whole.agg(F.sum("unexplained_lines")).first()[0] == 0 and whole.agg(F.sum("changed_lines")).first()[0] > 0
 
 
+def test_joined_mapping_rewrites_as_the_broadcast_one(spark):
+    """Keys of several words, inside each other, glued to dates, put in by an earlier pass, and texts that share a hot key."""
+    from maskwright.operators import rewrite, rewrite_joined
+
+    mapping = [
+        ("emails", "ann@corp.example.com", "user001@mail.site.org"), ("emails", "bob@x.org", "bob@x.org"),
+        ("fqdns", "Corp.example.com", "domain001.com"), ("fqdns", "db.corp.example.com", "host001.domain001.com"), ("fqdns", "site.org", "domain002.org"),
+        ("usernames", "ann", "user001"), ("usernames", "user001", "user009"), ("usernames", "DB Vault", "user002"),
+        ("named_objects", "DB Vault", "OBJ-1"), ("named_objects", "DB Vault East 2", "OBJ-2"), ("named_objects", "Vault", "OBJ-3"), ("named_objects", "fw-1", "OBJ-4"),
+        ("ip_addresses", "10.1.2.3", "10.9.9.9"), ("ip_addresses", "10.9.9.9", "10.7.7.7"), ("serial_numbers", "012345678901", "900000000001"), ("other", "the", "no"),
+    ]
+    parts = ["ann", "ann2024-01-02", "vsys1_ann", "DB Vault East 2", "DB Vault East", "Vault-x", "fw-1", "DB.CORP.example.com", "corp.example.com2024/01/02", "<equal-to>"]
+    parts += ["mail Ann@corp.example.com.", "10.1.2.3", "10.1.2.3/24", "10.9.9.9", "serial: 012345678901", "1.012345678901", "the", "x=ann", "http://site.org/a", "\n", "İ.corp.example.com"]
+    rng = __import__("random").Random(4)
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))) for i in range(120)]
+    rows += [(500 + i, "ann at DB Vault East 2") for i in range(300)] + [(1, None), (2, ""), (3, "ann"), (3, "ann")]
+    docs = spark.createDataFrame(rows, "id int, text string").withColumn("n", F.lit("clash"))
+    table = spark.createDataFrame(mapping, "category string, original string, pseudonym string")
+    shown = lambda df: sorted(((r["id"], r["text"], r["n"], sorted(r["replacements"].items()) if r["text"] is not None else None) for r in df.collect()), key=repr)
+    joined = rewrite_joined.rewrite_joined(docs, "text", table)
+    expected = rewrite.rewrite_texts(docs, "text", rewrite.collected(table))
+    assert joined.columns == expected.columns and shown(joined) == shown(expected)
+    assert shown(rewrite_joined.rewrite_joined(docs.limit(0), "text", table)) == []
+    assert {(i, t) for i, t, *_ in shown(rewrite_joined.rewrite_joined(docs, "text", table.limit(0)))} == set(rows)
+
+
+def test_large_mappings_are_joined(spark, monkeypatch):
+    from maskwright.operators import rewrite
+
+    whole = demonstrations.q43_rewrite_by_mapping(spark, SF).toPandas()
+    monkeypatch.setattr(rewrite, "MOST_MAPPED", 10)
+    assert values(demonstrations.q43_rewrite_by_mapping(spark, SF).toPandas()) == values(whole)
+
+
 def test_files_of_a_policy_scan(spark):
     rows = [("a/b.txt", b"x 8.8.8.8"), ("a/B.PNG", b"x"), (".git/c", b"x"), ("d.bin", b"x\0y"), ("late.bin", b"x" * 9000 + b"\0")]
     found = detect.policy_files(spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary"))
