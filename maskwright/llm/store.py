@@ -1,13 +1,12 @@
-"""Intermediate tables of this subpackage: those of maskwright.store, and joins that survive hot keys."""
+"""Intermediate tables and joins of this subpackage: those of maskwright.store, and one that frees what it was made from."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from maskwright.store import dropped, shared_folder, written
+from maskwright.store import dropped, join_hot, partitions, shared_folder, written
 
-__all__ = ["dropped", "join_hot", "released", "shared_folder", "written"]
+__all__ = ["dropped", "join_hot", "partitions", "released", "shared_folder", "written"]
 
 
 def released(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
@@ -18,24 +17,3 @@ def released(df: DataFrame, name: str, *consumed: DataFrame) -> DataFrame:
         dropped(old)
     table.sparkSession._jvm.System.gc()
     return table
-
-
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n_left: str, rows: int, parts: int, least: int = 256) -> DataFrame:
-    """left and right joined on equal keys, without n_left. right: one row for each key; its column n_left says how many rows of
-    `left` have the key. rows: how many `left` has, about.
-
-    A key with more than a partition's share of the rows is hot: a hash of the whole row deals its rows of `left` out
-    over so many salts that each has a share, and its row of `right` is there once for each salt.
-    """
-    share = max(least, rows // (2 * max(1, parts)))
-    salts = F.ceil(F.col(n_left) / share)
-    # At most rows / share of them, so this broadcast is bounded by twice the number of partitions, whatever the input.
-    hot = right.filter(F.col(n_left) > share).select(*keys, salts.alias("_salts"))
-    own = F.coalesce(F.pmod(F.xxhash64(*left.columns, F.lit(29)), F.col("_salts")), F.lit(0).cast("long"))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", own).drop("_salts")
-    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1)) - 1)))
-    return dealt.join(every.drop(n_left), [*keys, "_salt"]).drop("_salt")
-
-
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
