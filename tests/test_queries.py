@@ -276,8 +276,10 @@ def test_large_mappings_are_joined(spark, monkeypatch):
     from maskwright.operators import rewrite
 
     whole = demonstrations.q43_rewrite_by_mapping(spark, SF).toPandas()
+    streamed = demonstrations.q44_stream_rewrite(spark, SF).toPandas()
     monkeypatch.setattr(rewrite, "MOST_MAPPED", 10)
     assert values(demonstrations.q43_rewrite_by_mapping(spark, SF).toPandas()) == values(whole)
+    assert values(demonstrations.q44_stream_rewrite(spark, SF).toPandas()) == values(streamed)
 
 
 def test_files_of_a_policy_scan(spark):
